@@ -15,6 +15,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pieces import encoding_digests
 
@@ -22,6 +29,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language": op4_language,
     "op9_pieces": op9_pieces,
 }
 
