@@ -104,17 +104,26 @@ def _links(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"u": pa.array(u[k : k + 100_000], pa.int64()), "v": pa.array(v[k : k + 100_000], pa.int64())})
 
 
-def components(links: DataFrame, what: str) -> tuple[DataFrame, list[str]]:
+#: Up to so many links, union-find ends in one task.
+FEW_LINKS = 500_000
+
+
+def components(links: DataFrame, what: str, few: int = FEW_LINKS) -> tuple[DataFrame, list[str]]:
     """Connected components of links (u long, v long): rows (node, root) for each node of a link.
 
     root is the smallest node that can be reached. Union-find within each partition
-    leaves stars; alternating large-star and small-star rounds then join these,
+    leaves stars, of which one task can join a few (at most `few` links: a proven
+    bound on what it holds); else alternating large-star and small-star rounds then join these,
     each round a written table. Minima are combined before they are shuffled, and
     the joins are plain ones, which adaptive execution splits where a node is hot.
     Also returns the paths that the result reads.
     """
     spark = links.sparkSession
     edges, path = written(links.where("u <> v").select("u", "v").mapInArrow(_forests, "u long, v long"), what)
+    if edges.count() <= few:
+        one, new = written(edges.coalesce(1).mapInArrow(_forests, "u long, v long"), what)
+        removed(spark, path)
+        return _named(one), [new]
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -131,5 +140,9 @@ def components(links: DataFrame, what: str) -> tuple[DataFrame, list[str]]:
         if now == state:
             break
         state = now
+    return _named(edges), [path]
+
+
+def _named(edges: DataFrame) -> DataFrame:
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), [path]
+    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
