@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
@@ -22,15 +23,30 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pieces import encoding_digests
 
     return encoding_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
+    "op8_simhash": op8_simhash,
     "op9_pieces": op9_pieces,
+    "op10_mixing": op10_mixing,
 }
 
 #: DuckDB SQL where SQL can express the operator and is fast enough on whole tables.
