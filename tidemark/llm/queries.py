@@ -16,12 +16,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import pii
 
     found = pii.find_personal_data(table(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
@@ -52,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_personal_data": op3_personal_data,
     "op4_language": op4_language,
     "op8_simhash": op8_simhash,
