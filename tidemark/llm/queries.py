@@ -39,6 +39,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html import extract
+
+    out = extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_personal_data": op3_personal_data,
     "op4_language": op4_language,
+    "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
