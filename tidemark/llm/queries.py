@@ -39,6 +39,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.topk import largest
+
+    return largest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.html import extract
 
@@ -69,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_personal_data": op3_personal_data,
     "op4_language": op4_language,
+    "op5_ann": op5_ann,
+    "op6_topk": op6_topk,
     "op7_html": op7_html,
     "op8_simhash": op8_simhash,
     "op9_pieces": op9_pieces,
