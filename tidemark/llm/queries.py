@@ -22,6 +22,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_tm_lines").cast("long").alias("n_lines"), F.col("_tm_kept").cast("long").alias("n_kept"), "text")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import pii
 
@@ -79,6 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_line_dedup": op2_line_dedup,
     "op3_personal_data": op3_personal_data,
     "op4_language": op4_language,
     "op5_ann": op5_ann,
