@@ -21,12 +21,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import by_worker, texts_of
+from tidemark.llm.common import by_worker, sliced, texts_of
 
 SPACE = "▁"
 RUNS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -75,8 +77,8 @@ class Encoder:
         self.split = self._boundaries()
         #: What a piece reads as, where decoding it needs no more than that.
         self.plain = [p.replace(SPACE, " ") if k == "normal" else "" for p, k in zip(model.pieces, model.kinds, strict=True)]
-        #: By word: its ids, joined by commas, and the text that these decode to.
-        self.words: dict[str, tuple[str, str]] = {}
+        #: By word: its ids, joined by commas, the text that these decode to, and the ids as bytes.
+        self.words: dict[str, tuple[str, str, bytes]] = {}
 
     def _boundaries(self) -> re.Pattern:
         """Splits a word between a letter and those marks that follow no letter in any piece: no piece spans these cuts."""
@@ -165,7 +167,7 @@ class Encoder:
                 last = found[path[-1][0]][path[-1][1]][1] if path else -1
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for ids, _ in self.by_word(text) for x in ids.split(",")]
+        return [int(x) for ids, _, _ in self.by_word(text) for x in ids.split(",")]
 
     def words_of(self, text: str) -> list[str]:
         """Cuts before each run of space symbols and around line ends: no piece of the model spans these."""
@@ -176,8 +178,8 @@ class Encoder:
         words = text.split(" ")
         return [w for w in words if w] if "  " in text or text[-1] == " " else words
 
-    def by_word(self, text: str) -> list[tuple[str, str]]:
-        """For each word of the text its ids, joined by commas, and what these decode to (with a space before the first)."""
+    def by_word(self, text: str) -> list[tuple[str, str, bytes]]:
+        """For each word of the text its ids, joined by commas, what these decode to (with a space before the first), and their bytes."""
         if not text:
             return []
         words = self.words_of(text)
@@ -189,7 +191,7 @@ class Encoder:
                 kept.clear()
             return [kept.get(w) or self.new_word(w) for w in words]
 
-    def new_word(self, word: str) -> tuple[str, str]:
+    def new_word(self, word: str) -> tuple[str, str, bytes]:
         """Encodes the parts between cuts and decodes their ids; keeps these and the word."""
         kept, out = self.words, []
         parts = self.split.split(word)
@@ -201,12 +203,12 @@ class Encoder:
                     text = " " * read[0].startswith(" ") + self.decode(ids)
                 else:
                     text = "".join(read)
-                got = (",".join(map(str, ids)), text)
+                got = (",".join(map(str, ids)), text, array("i", ids).tobytes())
                 if len(part) <= 64:
                     kept[part] = got
             out.append(got)
         if len(parts) > 1:
-            got = (",".join([x for x, _ in out]), "".join([x for _, x in out]))
+            got = (",".join([x for x, _, _ in out]), "".join([x for _, x, _ in out]), b"".join([x for _, _, x in out]))
             if len(word) <= 64:
                 kept[word] = got
         return got
@@ -265,20 +267,26 @@ def _encoder(model: PieceModel, name: str) -> Encoder:
     return by_worker(f"pieces:{name}", lambda: Encoder(model))
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string: each whole text encoded, and its ids decoded again."""
+def encode_documents(docs: DataFrame, model_path: str, keep: bool = False) -> DataFrame:
+    """doc_id, ids array<int>, decoded string: each whole text encoded, and its ids decoded again.
+
+    keep: instead of decoded, same boolean, whether it is the text (a literal space symbol reads as a space).
+    """
     model = PieceModel.load(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model, model_path)
-        for batch in batches:
+        for batch in sliced(batches):
             words = [enc.by_word(t) for t in texts_of(batch.column(1))]
-            ids = [[int(x) for w, _ in ws for x in w.split(",")] for ws in words]
-            decoded = ["".join([x for _, x in ws])[1:] for ws in words]
-            yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())})
+            packed = [b"".join([x for _, _, x in ws]) for ws in words]
+            ends = np.cumsum([0] + [len(p) // 4 for p in packed])
+            ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            decoded = ["".join([x for _, x, _ in ws])[1:] for ws in words]
+            last = {"same": pa.array([d == t for d, t in zip(decoded, texts_of(batch.column(1)), strict=True)], pa.bool_())} if keep else {"decoded": pa.array(decoded, pa.string())}
+            yield pa.record_batch({"doc_id": batch.column(0), "ids": ids.cast(pa.list_(pa.int32())), **last})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, {'same boolean' if keep else 'decoded string'}")
 
 
 def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -291,10 +299,10 @@ def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
             n, ids, decoded = [], [], []
             for text in texts_of(batch.column(1)):
                 words = enc.by_word(text)
-                joined = ",".join([x for x, _ in words])
+                joined = ",".join([x for x, _, _ in words])
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256("".join([x for _, x in words])[1:].encode()).hexdigest())
+                decoded.append(hashlib.sha256("".join([x for _, x, _ in words])[1:].encode()).hexdigest())
             yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
