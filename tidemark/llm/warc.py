@@ -51,7 +51,7 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def member(data: bytes, level: int = 1) -> bytes:
+def member(data: bytes, level: int = 6) -> bytes:
     """A gzip member whose `sl` field has its whole length and that of the data."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
@@ -270,10 +270,10 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType):
-        self.path, self.level, self.date = options["path"], int(options.get("level", "1")), options.get("date", "1970-01-01T00:00:00Z")
+        self.path, self.level, self.date = options["path"], int(options.get("level", "6")), options.get("date", "1970-01-01T00:00:00Z")
         self.names = schema.names
-        if missing := {"record_id", "payload"} - set(self.names):
-            raise ValueError(f"columns are missing: {sorted(missing)}")
+        if "record_id" not in self.names or not {"payload", "deflated"} & set(self.names):
+            raise ValueError("the columns record_id and payload (or deflated) are needed")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, path = opened(self.path)
@@ -287,6 +287,8 @@ class WarcWriter(DataSourceArrowWriter):
                 for k in range(batch.num_rows):
                     any_row = True
                     payload, kind = get("payload", k) or b"", get("record_type", k) or "response"
+                    if deflated := get("deflated", k):
+                        payload = zlib.decompress(deflated)
                     digest = get("payload_digest", k) or "sha1:" + sha1_base32(payload)
                     head = {"WARC-Type": kind, "WARC-Record-ID": get("record_id", k), "WARC-Date": get("date", k) or self.date, "WARC-Target-URI": get("uri", k), "WARC-Payload-Digest": digest}
                     if kind == "revisit":
@@ -344,6 +346,18 @@ def _of_id(column: Column) -> Column:
     return F.regexp_extract(column, r"^<urn:page:(-?\d*)>$", 1)
 
 
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads with their digests and lengths, compressed for the way through the shuffle."""
+    for batch in batches:
+        payloads = [(x or "").encode() for x in batch.column(2).to_pylist()]
+        yield pa.record_batch(
+            {
+                "page_id": batch.column(0), "url": batch.column(1), "digest": pa.array([hashlib.sha1(x).hexdigest() for x in payloads], pa.string()),
+                "payload_length": pa.array([len(x) for x in payloads], pa.int64()), "deflated": pa.array([zlib.compress(x) for x in payloads], pa.binary()),
+            }
+        )
+
+
 def archive_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes a record for each page (page_id, url, html); repeated payloads become revisits.
 
@@ -354,9 +368,11 @@ def archive_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     """
     register(pages.sparkSession)
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", body.alias("body")).select("*", F.sha1("body").alias("digest"), F.octet_length("body").cast("long").alias("payload_length"))
+    sizes = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("n"))
     # maxima are combined before the shuffle; the join is a plain one, which is split where a digest is hot
-    last = rows.where(F.col("payload_length") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    last = sizes.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    kind = {f.name: f.dataType.simpleString() for f in pages.schema}
+    rows = pages.select("page_id", "url", "html").mapInArrow(_deflated, f"page_id {kind['page_id']}, url {kind['url']}, digest string, payload_length long, deflated binary")
     rows = rows.join(last, "digest", "left")
     again = F.coalesce((F.col("payload_length") >= least) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
     out = rows.select(
@@ -364,8 +380,8 @@ def archive_pages(pages: DataFrame, path: str, least: int = 0) -> None:
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("uri"),
         F.when(again, _id(F.col("keeper"))).alias("refers_to"),
-        F.when(~again, F.col("body")).alias("payload"),
-        F.when(again, F.concat(F.lit("sha1:"), base32(F.col("digest")))).alias("payload_digest"),
+        F.when(~again, F.col("deflated")).alias("deflated"),
+        F.concat(F.lit("sha1:"), base32(F.col("digest"))).alias("payload_digest"),
         "payload_length",
     )
     out.write.format("warc").mode("append").save(path)
