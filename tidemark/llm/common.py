@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Java's regular expression for a word: a run of what isn't ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,9 +40,15 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, which survives the loss of executors; and its path."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    # the shuffles of this job aren't read again: their files can go at its end
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def removed(spark: SparkSession, *paths: str) -> None:

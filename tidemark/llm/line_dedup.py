@@ -12,7 +12,9 @@ component the first occurrence (smallest doc_id, then line) stays.
 
 Equal lines count once: their hash stands for them, and text moves only for lines
 that share a bucket, which a bit table of fixed size (`bits`) tells apart on the
-way; if it fills up, more text moves and the result is the same.
+way; if it fills up, more text moves and the result is the same. Which buckets hold
+two lines is told from eight bytes a line and bucket: the upper bits are the bucket,
+the lower ones tell lines apart; a task sends at most two lines of a bucket.
 
 Nulls: a null text has no lines; a document without a doc_id takes no part and
 stays as it is. Rows that repeat a doc_id are one document and get the same lines.
@@ -25,17 +27,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, texts_of, written
+from tidemark.llm.common import components, removed, texts_of, written
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 10, 4
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 6
 #: Lines that are compared in a cell of an open bucket.
 CELL = 256
+#: Share of equal bins below which two lines of an open bucket aren't compared: 0.8 less five spreads of the estimate.
+ESTIMATE = 0.6
+#: A bucket key's upper bits; the lower ones tell lines apart.
+KEY = -(1 << 20)
+#: Bucket entries that a task holds before it sends them on.
+HELD = 1 << 21
 #: Bits of the table that tells which lines share a bucket.
 BITS = 1 << 25
 DOCUMENTS = 128
@@ -103,7 +110,7 @@ def band_keys(lines: list[str], bands: int, rows: int, size: int = SHINGLE) -> n
     for k in range(rows):
         key = (key ^ sig[:, :, k]) * MIX
         key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+    return key.view(np.int64) & KEY
 
 
 def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -135,8 +142,76 @@ def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, keys array<bigint>")
 
 
+def _two_of_each(packed: np.ndarray) -> np.ndarray:
+    """Sorted entries, of each bucket the first and the last if these differ, else one."""
+    packed = np.sort(packed)
+    edge = (packed[1:] & KEY) != (packed[:-1] & KEY)
+    first, last = packed[np.concatenate([[True], edge])], packed[np.concatenate([edge, [True]])]
+    return np.concatenate([first, last[last != first]])
+
+
+def _shared(lines: DataFrame) -> DataFrame:
+    """key: the buckets of more than one line. Entries travel packed, a block of bytes for each part and task."""
+    parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            own = _two_of_each(np.concatenate(held))
+            part = ((own & KEY).view(np.uint64) * MIX >> np.uint64(32)).astype(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            own, ends = own[order], np.searchsorted(part[order], np.arange(parts + 1))
+            held.clear()
+            return pa.record_batch({"part": pa.array(range(parts), pa.int32()), "block": pa.array([own[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+
+        for batch in batches:
+            h, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            if len(flat):
+                held.append(flat | np.repeat(h & ~KEY, np.diff(keys.offsets.to_numpy())))
+            if sum(map(len, held)) > HELD:
+                yield out()
+        if held:
+            yield out()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist() if x]
+            if sum(map(len, held)) > HELD:
+                held = [_two_of_each(np.concatenate(held))]
+        if held:
+            keys = _two_of_each(np.concatenate(held)) & KEY
+            keys = np.sort(keys)
+            keys = np.unique(keys[1:][keys[1:] == keys[:-1]])
+            for k in range(0, len(keys), 100_000):
+                yield pa.record_batch({"key": pa.array(keys[k : k + 100_000], pa.int64())})
+
+    blocks = lines.where("keys is not null").select("h", "keys").mapInArrow(packed, "part int, block binary")
+    return blocks.repartition(parts, "part").mapInArrow(met, "key long")
+
+
+def _members(lines: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
+    """key, h: the lines of shared buckets."""
+    sent = lines.sparkSession.sparkContext.broadcast(_bit_table(shared.select(F.shiftright("key", 20).alias("h")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            keys = batch.column(1)
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            place = (flat >> 20) % bits
+            hit = (table[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
+            h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
+            yield pa.record_batch({"key": pa.array(flat[hit], pa.int64()), "h": pa.array(h[hit], pa.int64())})
+
+    found = lines.where("keys is not null").select("h", "keys").mapInArrow(run, "key long, h long")
+    return found.distinct().join(shared, "key", "left_semi")
+
+
 def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash; as many rows come to the driver as the table has words at most."""
+    """A bit for each hash (column h); as many rows come to the driver as the table has words at most."""
     place = F.pmod("h", F.lit(bits))
     words = hashes.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, cast(pmod(h, 32) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
@@ -180,11 +255,32 @@ def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.record_batch({"u": batch.column(0), "v": batch.column(1), "ok": pa.array(ok, pa.bool_())})
 
 
-def _cell_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links that join what is similar in a cell, without a comparison inside a component."""
-    rows = rows.drop_duplicates("h").sort_values("h")
-    hashes, sets = rows["h"].tolist(), [shingle_set(t) for t in rows["text"]]
-    root = list(range(len(hashes)))
+def _cell_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and cell (key, cell, h, text): links that join what is similar in a cell."""
+    group: list[tuple[int, str]] = []
+    at = None
+    for batch in batches:
+        u: list[int] = []
+        v: list[int] = []
+        for key, cell, h, text in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            if (key, cell) != at:
+                _group_links(group, least, u, v)
+                group, at = [], (key, cell)
+            group.append((h, text))
+        yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    u, v = [], []
+    _group_links(group, least, u, v)
+    yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _group_links(group: list[tuple[int, str]], least: float, u: list[int], v: list[int]) -> None:
+    """Compares what the signatures don't tell apart, but nothing inside a component."""
+    own = dict(group)
+    if len(own) < 2:
+        return
+    hashes = sorted(own)
+    sig = signatures([own[h] for h in hashes], 96)
+    root, sets = list(range(len(hashes))), {}
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -192,22 +288,27 @@ def _cell_links(rows: pd.DataFrame, least: float) -> pd.DataFrame:
             k = root[k]
         return k
 
-    u, v = [], []
     for j in range(1, len(hashes)):
-        for i in range(j):
-            if (a := top(i)) != (b := top(j)) and similar(sets[i], sets[j], least):
-                root[max(a, b)] = min(a, b)
-                u.append(hashes[j]), v.append(hashes[i])
-    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+        for i in np.flatnonzero((sig[:j] == sig[j]).mean(1) >= ESTIMATE).tolist():
+            if (a := top(i)) != (b := top(j)):
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingle_set(own[hashes[k]])
+                if similar(sets[i], sets[j], least):
+                    root[max(a, b)] = min(a, b)
+                    u.append(hashes[j]), v.append(hashes[i])
 
 
 def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, cell: int = CELL, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, line, h of each line; h and root of each line hash that has links."""
-    lines, _ = written(_lines(docs, bands, rows), "lines")
-    keyed = lines.where("keys is not null").select(F.explode("keys").alias("key"), "h")
-    # buckets of more than one line, by a combiner; the hash join after it sees these alone
-    shared = keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("other")).where("lead <> other").select("key", "lead")
-    members, _ = written(keyed.join(shared, "key").distinct(), "buckets")
+    keyed, keyed_path = written(_lines(docs, bands, rows), "keyed")
+    lines, _ = written(keyed.select("doc_id", "line", "h"), "lines")
+    shared, shared_path = written(_shared(keyed), "shared")
+    rows_of, rows_path = written(_members(keyed, shared, bits), "members")
+    removed(docs.sparkSession, keyed_path, shared_path)
+    leads = rows_of.groupBy("key").agg(F.min("h").alias("lead"))
+    members, _ = written(rows_of.join(leads, "key"), "buckets")
+    removed(docs.sparkSession, rows_path)
     texts, _ = written(_texts(docs, members.select("h").distinct(), bits), "texts")
     pairs = members.where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
     a, b = texts.select(F.col("h").alias("u"), F.col("text").alias("a")), texts.select(F.col("h").alias("v"), F.col("text").alias("b"))
@@ -223,10 +324,11 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least
     block = F.when(F.col("size") <= cell, F.lit(0)).otherwise(F.pmod(F.xxhash64("h", F.lit("cell")), n)).cast("int")
     cells = F.when(F.col("size") <= cell, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.least(x, F.col("block")) * n + F.greatest(x, F.col("block"))))
     dealt = inside.join(first, "key").withColumn("block", block).select("key", "h", F.explode(cells).alias("cell"))
-    links = dealt.join(texts, "h").groupBy("key", "cell").applyInPandas(lambda rows: _cell_links(rows, least), "u long, v long")
+    cells_of = dealt.join(texts, "h").select("key", "cell", "h", "text").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    links = cells_of.mapInArrow(lambda it: _cell_links(it, least), "u long, v long")
     links = stars.where("ok").select("u", "v").unionByName(links)
     roots, _ = components(links, "lines")
-    return lines.select("doc_id", "line", "h"), roots.select(F.col("node").alias("h"), "root")
+    return lines, roots.select(F.col("node").alias("h"), "root")
 
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
