@@ -52,7 +52,7 @@ def windows(words: list[str]) -> np.ndarray:
     at = np.arange(len(codes))
     since = at - np.maximum.accumulate(np.where(codes == START, at, 0))
     out = np.zeros((len(codes), ORDER), np.uint32)
-    for back in range(ORDER):
+    for back in range(min(ORDER, len(codes))):
         col = np.zeros(len(codes), np.uint32)
         col[back:] = codes[: len(codes) - back]
         out[:, ORDER - 1 - back] = np.where(since >= back, col, 0)
