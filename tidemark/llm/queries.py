@@ -97,5 +97,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+def _base32_sql(hexed: str) -> str:
+    """RFC 4648 base32 of 40 hex digits in DuckDB."""
+    letters = []
+    for k in range(8):
+        value = f"CAST('0x' || substr({hexed}, {5 * k + 1}, 5) AS BIGINT)"
+        letters += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({value} >> {s}) & 31 AS INTEGER) + 1, 1)" for s in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
 #: DuckDB SQL where SQL can express the operator and is fast enough on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hexed FROM p), k AS (SELECT hexed, max(page_id) AS keeper FROM d GROUP BY hexed)
+  SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_base32_sql("hexed")} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d JOIN k USING (hexed)""",
+    "op6_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings),
+  s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",
+}
