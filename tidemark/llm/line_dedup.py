@@ -5,9 +5,10 @@ ones take no part and stay. A line is the set of its character shingles (a short
 line is its own shingle). Signatures come from one permutation, cut into bins, whose
 empty bins borrow from others at random; bands of them make buckets. In a bucket
 each line is first held against the smallest, by exact Jaccard similarity; where
-that fails for some, the bucket is open, and all of its lines are held against each
-other, in cells of bounded size. So a bucket of near copies costs a comparison a
-line and gives a star of links. Distributed union-find joins the links; of each
+that fails for some, the bucket is open, and these are held against all of its other
+lines, in cells of bounded size, each until it meets one that is like the smallest.
+So a bucket of near copies costs a comparison a line and gives a star of links, and
+only lines that fail add to it. Distributed union-find joins the links; of each
 component the first occurrence (smallest doc_id, then line) stays.
 
 Equal lines count once: their hash stands for them, and text moves only for lines
@@ -32,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, removed, texts_of, written
+from tidemark.llm.common import components, removed, sliced, texts_of, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 6
-#: Lines that are compared in a cell of an open bucket.
-CELL = 256
+#: Lines that meet in a cell of an open bucket.
+CELL = 512
 #: Share of equal bins below which two lines of an open bucket aren't compared: 0.8 less five spreads of the estimate.
 ESTIMATE = 0.6
+#: Characters below which lines are compared whatever the estimate, as few shingles make it rough.
+SHORT = 100
 #: A bucket key's upper bits; the lower ones tell lines apart.
 KEY = -(1 << 20)
 #: Bucket entries that a task holds before it sends them on.
@@ -47,7 +50,7 @@ HELD = 1 << 21
 BITS = 1 << 25
 DOCUMENTS = 128
 SEEN = 500_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x01000193)
 
 
 def normal(line: str) -> str:
@@ -74,12 +77,13 @@ def similar(a: frozenset, b: frozenset, least: float) -> bool:
 def signatures(lines: list[str], bins: int, size: int = SHINGLE) -> np.ndarray:
     """For each line the smallest hash in each bin; an empty bin has that of another one, drawn at random."""
     padded = [x if len(x) >= size else x + "\x00" * (size - len(x)) for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
     lengths = np.array([len(x) for x in padded])
-    h = np.zeros(len(codes) - size + 1, np.uint64)
-    for k in range(size):
-        h = (h + codes[k : len(codes) - size + 1 + k]) * MIX
-        h ^= h >> np.uint64(32)
+    h = codes[: len(codes) - size + 1].copy()
+    for k in range(1, size):
+        h *= BASE
+        h += codes[k : len(codes) - size + 1 + k]
+    h = h * MIX
     line = np.repeat(np.arange(len(lines)), lengths)
     whole = np.ones(len(h), bool)  # shingles that don't run over a line's end
     ends = np.cumsum(lengths)
@@ -90,7 +94,7 @@ def signatures(lines: list[str], bins: int, size: int = SHINGLE) -> np.ndarray:
     at = line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full(len(lines) * bins, empty, np.uint64)
-    np.minimum.at(out, at, h * MIX >> np.uint64(8))
+    np.minimum.at(out, at, (h ^ h >> np.uint64(29)) * MIX >> np.uint64(8))
     own = out.reshape(-1, bins)
     first = own.copy()
     rng = np.random.default_rng(11)
@@ -118,25 +122,23 @@ def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for whole in batches:
-            for k in range(0, whole.num_rows, DOCUMENTS):
-                batch = whole.slice(k, DOCUMENTS)
-                ids, numbers, hashes, new, where = [], [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                    for n, line in enumerate(text.split("\n")):
-                        if own := normal(line):
-                            h = line_hash(own)
-                            ids.append(doc), numbers.append(n), hashes.append(h)
-                            if h not in seen:
-                                seen.add(h)
-                                new.append(own), where.append(len(ids) - 1)
-                keys: list = [None] * len(ids)
-                if new:
-                    for at, row in zip(where, band_keys(new, bands, rows).tolist(), strict=True):
-                        keys[at] = row
-                if len(seen) > SEEN:
-                    seen.clear()
-                yield pa.record_batch({"doc_id": pa.array(ids, batch.column(0).type), "line": pa.array(numbers, pa.int32()), "h": pa.array(hashes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+        for batch in sliced(batches, DOCUMENTS):
+            ids, numbers, hashes, new, where = [], [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                for n, line in enumerate(text.split("\n")):
+                    if own := normal(line):
+                        h = line_hash(own)
+                        ids.append(doc), numbers.append(n), hashes.append(h)
+                        if h not in seen:
+                            seen.add(h)
+                            new.append(own), where.append(len(ids) - 1)
+            keys: list = [None] * len(ids)
+            if new:
+                for at, row in zip(where, band_keys(new, bands, rows).tolist(), strict=True):
+                    keys[at] = row
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.record_batch({"doc_id": pa.array(ids, batch.column(0).type), "line": pa.array(numbers, pa.int32()), "h": pa.array(hashes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, keys array<bigint>")
@@ -225,7 +227,7 @@ def _texts(docs: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = sent.value, set()
-        for batch in batches:
+        for batch in sliced(batches, 512):
             own, texts = [], []
             for text in texts_of(batch.column(0)):
                 for line in text.split("\n"):
@@ -256,47 +258,69 @@ def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and cell (key, cell, h, text): links that join what is similar in a cell."""
-    group: list[tuple[int, str]] = []
-    at = None
+    """Rows sorted by bucket and cell (key, cell, h, like, failed, text): links of the failed lines to others of the cell.
+
+    like: similar to the bucket's smallest line, or that line itself. Each cell gives a
+    spanning forest.
+    """
+    held: list[tuple] = []
     for batch in batches:
-        u: list[int] = []
-        v: list[int] = []
-        for key, cell, h, text in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-            if (key, cell) != at:
-                _group_links(group, least, u, v)
-                group, at = [], (key, cell)
-            group.append((h, text))
-        yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-    u, v = [], []
-    _group_links(group, least, u, v)
-    yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-
-def _group_links(group: list[tuple[int, str]], least: float, u: list[int], v: list[int]) -> None:
-    """Compares what the signatures don't tell apart, but nothing inside a component."""
-    own = dict(group)
-    if len(own) < 2:
-        return
-    hashes = sorted(own)
-    sig = signatures([own[h] for h in hashes], 96)
-    root, sets = list(range(len(hashes))), {}
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for j in range(1, len(hashes)):
-        for i in np.flatnonzero((sig[:j] == sig[j]).mean(1) >= ESTIMATE).tolist():
-            if (a := top(i)) != (b := top(j)):
-                for k in (i, j):
-                    if k not in sets:
-                        sets[k] = shingle_set(own[hashes[k]])
-                if similar(sets[i], sets[j], least):
-                    root[max(a, b)] = min(a, b)
-                    u.append(hashes[j]), v.append(hashes[i])
+        rows = held + list(zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True))
+        # the last cell may go on in the next batch
+        end = len(rows)
+        while end and rows[end - 1][:2] == rows[-1][:2]:
+            end -= 1
+        held = rows[end:]
+        yield _links_of(rows[:end], least)
+    yield _links_of(held, least)
+
+
+def _links_of(rows: list[tuple], least: float) -> pa.RecordBatch:
+    texts = {h: text for _, _, h, _, _, text in rows}
+    at = {h: k for k, h in enumerate(texts)}
+    sig = signatures(list(texts.values()), 96) if texts else None
+    short = np.array([len(t) < SHORT for t in texts.values()], bool)
+    sets: dict[int, frozenset] = {}
+    u: list[int] = []
+    v: list[int] = []
+
+    def close(a: int, b: int) -> bool:
+        for h in (a, b):
+            if h not in sets:
+                sets[h] = shingle_set(texts[h])
+        return similar(sets[a], sets[b], least)
+
+    k = 0
+    while k < len(rows):
+        last = k
+        while last < len(rows) and rows[last][:2] == rows[k][:2]:
+            last += 1
+        group = rows[k:last]
+        k = last
+        failed = sorted({h for _, _, h, _, f, _ in group if f})
+        if not failed:
+            continue
+        # like lines are one component from the start, and nothing is compared inside a component
+        like = {h for _, _, h, l, _, _ in group if l}
+        hs = sorted({h for _, _, h, _, _, _ in group}, key=lambda h: (h not in like, h))
+        places = np.array([at[h] for h in hs])
+        first = min(like, default=0)
+        root = {h: first if h in like else h for h in hs}
+
+        def top(h: int) -> int:
+            while root[h] != h:
+                root[h] = root[root[h]]
+                h = root[h]
+            return h
+
+        for a in failed:
+            near = ((sig[places] == sig[at[a]]).mean(1) >= ESTIMATE) | short[places] | short[at[a]]
+            for j in np.flatnonzero(near).tolist():
+                b = hs[j]
+                if (x := top(a)) != (y := top(b)) and close(a, b):
+                    root[max(x, y)] = min(x, y)
+                    u.append(a), v.append(b)
+    return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, cell: int = CELL, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -313,21 +337,24 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least
     pairs = members.where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
     a, b = texts.select(F.col("h").alias("u"), F.col("text").alias("a")), texts.select(F.col("h").alias("v"), F.col("text").alias("b"))
     stars, _ = written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(lambda it: _stars(it, least), "u long, v long, ok boolean"), "stars")
-    failed = stars.where("not ok").select(F.col("u").alias("h"), F.col("v").alias("lead"))
-    open_ = members.join(failed, ["h", "lead"], "left_semi").select("key").distinct()
-    inside = members.join(open_, "key", "left_semi").select("key", "h")
-    # buckets with the same lines are one
-    alike = inside.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sum"))
-    first = alike.groupBy("size", "sum").agg(F.min("key").alias("key")).select("key", "size")
+    failed = stars.where("not ok").select(F.col("u").alias("h"), F.col("v").alias("lead"), F.lit(True).alias("failed"))
+    marked = members.join(failed, ["h", "lead"], "left").select("key", "h", F.coalesce("failed", F.lit(False)).alias("failed"))
+    # open buckets: with a failed line, and more lines than it and the smallest; those with the same lines are one
+    sizes = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("failed").alias("fails"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sum"))
+    sizes = sizes.where("fails > 0 and size > 2").groupBy("size", "fails", "sum").agg(F.min("key").alias("key"))
+    inside, inside_path = written(marked.join(sizes.select("key", "size", "fails"), "key"), "open")
     half = max(1, cell // 2)
-    n = F.ceil(F.col("size") / half).cast("int")
-    block = F.when(F.col("size") <= cell, F.lit(0)).otherwise(F.pmod(F.xxhash64("h", F.lit("cell")), n)).cast("int")
-    cells = F.when(F.col("size") <= cell, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.least(x, F.col("block")) * n + F.greatest(x, F.col("block"))))
-    dealt = inside.join(first, "key").withColumn("block", block).select("key", "h", F.explode(cells).alias("cell"))
-    cells_of = dealt.join(texts, "h").select("key", "cell", "h", "text").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    links = cells_of.mapInArrow(lambda it: _cell_links(it, least), "u long, v long")
+    blocks = lambda c: F.ceil(F.col(c) / half).cast("int")
+    block = lambda c: F.pmod(F.xxhash64("h", F.lit(c)), blocks(c)).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    # a cell is a block of failed lines against a block of all lines; both kinds of rows go to their block's cells
+    ours = inside.where("failed").select("key", "h", F.lit(False).alias("like"), F.lit(True).alias("failed"), F.explode(F.transform(upto("size"), lambda j: block("fails") * blocks("size") + j)).alias("cell"))
+    theirs = inside.select("key", "h", (~F.col("failed")).alias("like"), F.lit(False).alias("failed"), F.explode(F.transform(upto("fails"), lambda i: i * blocks("size") + block("size"))).alias("cell"))
+    dealt = ours.unionByName(theirs).join(texts, "h").select("key", "cell", "h", "like", "failed", "text")
+    links = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda it: _cell_links(it, least), "u long, v long")
     links = stars.where("ok").select("u", "v").unionByName(links)
     roots, _ = components(links, "lines")
+    removed(docs.sparkSession, inside_path)
     return lines, roots.select(F.col("node").alias("h"), "root")
 
 
