@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import sliced, texts_of
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,8 +37,10 @@ UNKNOWN = "und"
 #: Marks that no letter equals.
 START, END = 1, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Least spread between documents: texts that mix known languages or repeat words stay within twelve of these.
+LEAST_SPREAD = 0.1
 #: How many words' scores a worker keeps at once, and how many documents it reads at once.
-KEPT_WORDS, DOCUMENTS = 400_000, 256
+KEPT_WORDS, DOCUMENTS = 250_000, 256
 
 
 def letters_of(text: str) -> list[str]:
@@ -255,7 +257,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 1500, calibration_docs: int = 400,
         away = (e["entropy"] - mean).abs()
         between = float(away[e["n"] >= e["n"].median()].median() * 1.4826)
         single = float((away * np.sqrt(e["n"])).median() * 1.4826)
-        model.fit_of[lang] = (mean, max(between, 0.01), max(single, 0.1))
+        model.fit_of[lang] = (mean, max(between, LEAST_SPREAD), max(single, 0.1))
     return model
 
 
@@ -264,17 +266,15 @@ def _judged(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (kept, rows) = sent.value, ({}, [])
-        for whole in batches:
-            for k in range(0, whole.num_rows, DOCUMENTS):
-                batch = whole.slice(k, DOCUMENTS)
-                texts = texts_of(batch.column(2))
-                langs, scores, rejected, lows = m.judged(texts, kept, rows)
-                yield pa.record_batch(
-                    {
-                        "doc_id": batch.column(0), "lang": batch.column(1), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()),
-                        "rejected": pa.array(rejected, pa.bool_()), "entropy": pa.array(lows, pa.float64()), "n": pa.array([len(t) for t in texts], pa.int64()),
-                    }
-                )
+        for batch in sliced(batches, DOCUMENTS):
+            texts = texts_of(batch.column(2))
+            langs, scores, rejected, lows = m.judged(texts, kept, rows)
+            yield pa.record_batch(
+                {
+                    "doc_id": batch.column(0), "lang": batch.column(1), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()),
+                    "rejected": pa.array(rejected, pa.bool_()), "entropy": pa.array(lows, pa.float64()), "n": pa.array([len(t) for t in texts], pa.int64()),
+                }
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, lang_pred string, score double, rejected boolean, entropy double, n long")
@@ -293,9 +293,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (kept, rows) = sent.value, ({}, [])
-        for whole in batches:
-            for k in range(0, whole.num_rows, DOCUMENTS):
-                batch = whole.slice(k, DOCUMENTS)
-                yield batch.filter(pa.array([not x for x in m.judged(texts_of(batch.column(at)), kept, rows)[2]], pa.bool_()))
+        for batch in sliced(batches, DOCUMENTS):
+            yield batch.filter(pa.array([not x for x in m.judged(texts_of(batch.column(at)), kept, rows)[2]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ from tidemark.llm.common import by_worker, sliced, texts_of
 SPACE = "▁"
 RUNS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: How many words' encodings a worker keeps at once.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 
 
 class PieceModel:
@@ -114,7 +114,7 @@ class Encoder:
 
     def fits(self, key: int, left: int, right: int) -> bool:
         """Whether merging the two pieces' characters gives these two; left -1: whether right's give right."""
-        if len(self.pairs) > 1_500_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         pieces = [self.model.pieces[i] for i in (left, right) if i >= 0]
         known = self.pairs[key] = self.merged("".join(pieces)) == pieces
@@ -295,7 +295,7 @@ def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model, model_path)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             n, ids, decoded = [], [], []
             for text in texts_of(batch.column(1)):
                 words = enc.by_word(text)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, texts_of, written
+from tidemark.llm.common import components, sliced, texts_of, written
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints of a shard that are searched in one task; larger shards are cut.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             fp = np.array([fingerprint(t, size) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fp, pa.int64())})
 
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """The rows of docs, all columns, of which each component keeps the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays. A component of null doc_ids keeps all.
+    Of rows that repeat that doc_id one stays. Rows without a doc_id all stay.
     """
     found = near_duplicates(docs, size, radius, cell)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_tm_gone")).distinct()
