@@ -472,6 +472,24 @@ def test_ann(spark):
     assert ann.nearest(vectors_of(spark, x[:1])).count() == 0 and sorted(r.vec_id for r in ann.nearest(vectors_of(spark, x[:4])).collect()) == [1, 2, 3]
 
 
+def test_ann_of_unequal_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16))
+    x *= (rng.lognormal(0, 1, 3000) / np.linalg.norm(x, axis=1))[:, None]
+    x[::300] *= 8 / np.linalg.norm(x[::300], axis=1)[:, None]
+    x = x.astype(np.float32)
+    got = {}
+    for r in ann.nearest(vectors_of(spark, x), rows=1500, queries=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = []
+    for q in range(0, 3000, 100):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        order = [k for k in np.lexsort((np.arange(3000), d)) if k != q][:10]
+        assert len(got.get(q, [])) == 10
+        hits.append(len(set(got[q]) & set(order)) / 10)
+    assert np.mean(hits) >= 0.95 and np.mean(hits[::3]) >= 0.95
+
+
 def test_perturbations_come_in_order_of_expected_cost():
     sets = ann.perturbations(5, 60)
     near = lambda j: j * (j + 1) / (4 * 6 * 7) if j <= 5 else 1 - (11 - j) / 6 + (11 - j) * (12 - j) / (4 * 6 * 7)
