@@ -441,6 +441,20 @@ def test_html_odd_pages(spark):
     assert html.extract(pages_of(spark, ["x"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<html class="header-fixed"><body class="no-sidebar search-enabled"><nav>N</nav><article class="post social"><p>Whole text</p></article></body></html>', "Whole text"),
+        ('<body id="search"><div><p>Whole text</p></div><div class="sidebar-left">L</div><div class="Site-Footer">F</div><div class="ad-1">A</div></body>', "Whole text"),
+        ('<body><div class="has-sidebar"><p>One</p></div><div class="social-history"><p>Two</p></div><p>Three</p></body>', "One Two Three"),
+        ('<body><div class="widget"><p>This holds most of the text</p></div><div class="widget">W</div></body>', "This holds most of the text"),
+    ],
+)
+def test_html_names_that_do_not_set_apart(spark, page, want):
+    assert html.main_text(page, None) == want
+    assert [r.text for r in html.extract(pages_of(spark, [page])).collect()] == [want]
+
+
 # searches
 
 

@@ -12,7 +12,8 @@ host's pages. Every page takes part; none is sampled.
 The wrapper's slots tell how much text stands where on a host's pages, and so
 which group holds the article; menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and comments, known by tag, role, class or id, don't
-count. The rules (a path of groups for each host) are joined to the pages,
+count. What only its name sets apart stays where it holds most of the page's text.
+The rules (a path of groups for each host) are joined to the pages,
 broadcast only where their measured size is small.
 
 Nulls: null html is empty and gives the empty text; pages without a host in their
@@ -44,17 +45,21 @@ DEPTH = 150
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)""", re.S | re.I)
 NAMING = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-PARTS = re.compile(r"[A-Za-z]+")
+PARTS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"[0-9]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 APART = frozenset("nav header footer aside form menu dialog button select option input label fieldset object audio video canvas head".split())
-#: Parts of classes, ids and roles of what isn't the article.
+#: Elements that are never apart by name.
+WHOLE = frozenset("html body main article".split())
+#: Classes, ids and roles of what isn't the article.
 APART_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer form header login masthead menu menus modal nav navbar navigation newsletter notice notices popup promo promotion "
     "related reply replies share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets complementary search".split()
 )
+#: Words that such a class may have besides, since they only say what kind of box it is or where: share-box, main-nav; not no-sidebar.
+FRAMES = frozenset("area bar block bottom box button buttons container global icon icons inner item items left link links list main outer panel primary right secondary section site slot top unit wrap wrapper".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What a start tag closes, up to the element that bounds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
@@ -71,10 +76,32 @@ class Group:
         self.children: list[Group | str] = []
 
 
+def named_apart(name: str) -> bool:
+    """Whether a token of a class, id or role is one of APART_NAMES, but for FRAMES."""
+    for token in name.lower().split():
+        parts = PARTS.findall(token)
+        if not APART_NAMES.isdisjoint(parts) and all(p in APART_NAMES or p in FRAMES for p in parts):
+            return True
+    return False
+
+
+def keep_most(root: Group, made: list[tuple[Group, Group]], named: list[Group]) -> None:
+    """Of the groups that are apart by name those with more than half of the page's text aren't. made: all groups with those around them, in page order."""
+    size = {id(g): 0 for g, _ in made} | {id(root): 0}
+    for group, around in [*reversed(made), (root, None)]:
+        size[id(group)] += sum(len(c.strip()) for c in group.children if isinstance(c, str))
+        if around and group.tag not in APART:
+            size[id(around)] += size[id(group)]
+    for group in named:
+        group.apart = 2 * size[id(group)] <= size[id(root)]
+
+
 def parsed(html: str) -> Group:
     """The page's groups. Inline tags vanish, a line break is a space; scripts, styles and comments are left out."""
     root = Group("", "", False)
     stack = [root]
+    made: list[tuple[Group, Group]] = []
+    named: list[Group] = []
     for m in TOKEN.finditer(html):
         text = m.group(8)
         if text is not None:
@@ -96,7 +123,7 @@ def parsed(html: str) -> Group:
             continue
         naming = m.group(4) or m.group(7) or ""
         names = [x.group(2).strip("\"'") for x in NAMING.finditer(naming)] if "=" in naming else []
-        apart = tag in APART or any(p.lower() in APART_NAMES for x in names for p in PARTS.findall(x))
+        apart = tag in APART or tag not in WHOLE and any(map(named_apart, names))
         if tag in INLINE and not apart:
             continue
         if tag in VOID:
@@ -120,8 +147,13 @@ def parsed(html: str) -> Group:
                     break
         group = Group(tag, tag + "".join("." + DIGITS.sub("0", x) for x in names), apart)
         if len(stack) < DEPTH:  # what lies deeper joins the group around it
+            made.append((group, stack[-1]))
             stack[-1].children.append(group)
             stack.append(group)
+            if apart and tag not in APART:
+                named.append(group)
+    if named:
+        keep_most(root, made, named)
     return root
 
 
@@ -206,7 +238,7 @@ def one(x: list, y: list) -> list:
     if x[0] == "#":
         return ["#", maybe, x[2] + y[2]]
     if x[0] == y[0] == "e":
-        return ["e", maybe, x[2], x[3], x[4], aligned(x[5], y[5])]
+        return ["e", maybe, x[2], x[3] and y[3], x[4], aligned(x[5], y[5])]
     return ["+", maybe, aligned(x[2] if x[0] == "+" else [x], y[2] if y[0] == "+" else [y])]
 
 
@@ -258,17 +290,17 @@ def article(items: list[list]) -> list[str]:
     return path
 
 
-def at_path(root: Group, path: list[str]) -> list[Group]:
+def at_path(root: Group, path: list[str], apart: bool = False) -> list[Group]:
     found = [root]
     for label in path:
-        found = [c for g in found for c in g.children if isinstance(c, Group) and c.label == label]
+        found = [c for g in found for c in g.children if isinstance(c, Group) and c.label == label and (apart or not c.apart)]
     return found
 
 
 def text_of(groups: list[Group]) -> str:
-    """The groups' text in page order, without what is apart: references decoded, each run of white space and each block's edge one space."""
+    """The groups' text in page order, without what is apart in them: references decoded, each run of white space and each block's edge one space."""
     out: list[str] = []
-    todo: list[Group | str] = list(reversed(groups))
+    todo: list[Group | str] = [c for g in reversed(groups) for c in ("\n", *reversed(g.children), "\n")]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -282,7 +314,8 @@ def text_of(groups: list[Group]) -> str:
 
 def main_text(html: str, path: list[str] | None) -> str:
     root = parsed(html)
-    found = at_path(root, path) if path else []
+    # what is apart by name here may hold most of the text of the host's other pages
+    found = (at_path(root, path) or at_path(root, path, True)) if path else []
     if not found:
         found = at_path(root, article(items_of(root)))
     return text_of(found)
