@@ -455,6 +455,22 @@ def test_html_names_that_do_not_set_apart(spark, page, want):
     assert [r.text for r in html.extract(pages_of(spark, [page])).collect()] == [want]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class=post><h1>Title</h1><div class=entry><p>Body of the text</p></div></div>", "Title Body of the text"),
+        ("<body><div class=intro>An intro of some length</div><div class=body><p>" + "long " * 9 + "</p></div></body>", "An intro of some length " + " ".join(["long"] * 9)),
+        ("<body><article class=a><p>The first one</p></article>x<article class=b><p>Second</p></article><div><main><p>Third</p></main></div></body>", "The first one Second Third"),
+        ('<body><p>Short</p><div class="widget"><p>This holds most of the text</p></div><div class="widget">W</div></body>', "Short This holds most of the text"),
+        ("<body><main><nav>N</nav></main><div><p>Text</p></div></body>", "Text"),
+    ],
+)
+def test_html_keeps_what_stands_beside(spark, page, want):
+    assert html.main_text(page, None) == want
+    others = ["<body><main><p>Marked</p></main></body>"] if "<main>" in page else []
+    assert [r.text for r in html.extract(pages_of(spark, [page, *others]).withColumn("url", F.lit("http://h/"))).orderBy("page_id").collect()] == [want, *["Marked" for _ in others]]
+
+
 # searches
 
 

@@ -10,7 +10,9 @@ is aligned in turn, first in salted parts of a host, so that no task holds a
 host's pages. Every page takes part; none is sampled.
 
 The wrapper's slots tell how much text stands where on a host's pages, and so
-which group holds the article; menus, headers, footers, sidebars, notices,
+which group holds the article: the deepest that holds all text, so that nothing
+beside it is lost. On pages with marked groups (article, main) these do, all of
+them. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and comments, known by tag, role, class or id, don't
 count. What only its name sets apart stays where it holds most of the page's text.
 The rules (a path of groups for each host) are joined to the pages,
@@ -265,31 +267,30 @@ def elements(items: list[list]) -> Iterator[list]:
 
 
 def article(items: list[list]) -> list[str]:
-    """The path of labels to the group that holds the article: of marked ones the one with most text, else where most text stands together."""
-    best: tuple[int, list[str]] = (0, [])
-
-    def look(level: list[list], path: list[str]) -> None:
-        nonlocal best
-        for x in elements(level):
-            own = [*path, x[2]]
-            if (x[4] in ("article", "main") or ".main" in x[2]) and (n := mass(x[5])) > best[0]:
-                best = (n, own)
-            look(x[5], own)
-
-    look(items, [])
-    if best[0]:
-        # an article inside main is nearer to the text
-        return best[1]
+    """The path of labels to the deepest group that holds all text outside of what is apart."""
     path: list[str] = []
     while total := mass(items):
         inner = max(elements(items), key=lambda x: mass(x[5]), default=None)
-        if inner is None or inner[4] in BLOCKS_OF_TEXT or mass(inner[5]) < 0.6 * total:
+        if inner is None or inner[4] in BLOCKS_OF_TEXT or mass(inner[5]) < total:
             break
         path.append(inner[2])
         items = inner[5]
     return path
 
 
+def marked(root: Group) -> list[Group]:
+    """The outermost groups that are marked as articles, in page order."""
+    found: list[Group] = []
+    todo = [root]
+    while todo:
+        group = todo.pop()
+        if group.tag in ("article", "main") or ".main" in group.label:
+            found.append(group)
+        else:
+            todo.extend(c for c in reversed(group.children) if isinstance(c, Group) and not c.apart)
+    return found
+
+
 def at_path(root: Group, path: list[str], apart: bool = False) -> list[Group]:
     found = [root]
     for label in path:
@@ -313,12 +314,13 @@ def text_of(groups: list[Group]) -> str:
 
 
 def main_text(html: str, path: list[str] | None) -> str:
+    """The text of all marked groups, or without text in these that at the path, by which nothing is lost."""
     root = parsed(html)
+    if text := text_of(marked(root)):
+        return text
     # what is apart by name here may hold most of the text of the host's other pages
     found = (at_path(root, path) or at_path(root, path, True)) if path else []
-    if not found:
-        found = at_path(root, article(items_of(root)))
-    return text_of(found)
+    return text_of(found or at_path(root, article(items_of(root))))
 
 
 def _host():
