@@ -471,6 +471,19 @@ def test_html_keeps_what_stands_beside(spark, page, want):
     assert [r.text for r in html.extract(pages_of(spark, [page, *others]).withColumn("url", F.lit("http://h/"))).orderBy("page_id").collect()] == [want, *["Marked" for _ in others]]
 
 
+def test_html_deep_pages(spark):
+    deep = "<div>" * 200 + "</div>" * 200
+    htmls = [
+        f"<div><article>{deep}<p>tail</p></article></div>",
+        "<p>start</p>" + "<div>" * 400 + "<nav>Menu</nav><div class=ad>Buy</div><p>deep</p>" + "</div>" * 400 + "<p>tail</p>",
+        "<div>" * 400 + "<article><p>deep</p></article></div>beside",
+        "<div>" * 100000 + "<ul><li>one<li>two</ul>" + "</span></ul>" * 100000 + "<p>x" * 3 + "</div>" * 100000 + "end",
+    ]
+    want = ["tail", "start deep tail", "deep", "one two x x x end"]
+    assert [html.main_text(h, None) for h in htmls] == want
+    assert [r.text for r in html.extract(pages_of(spark, htmls)).orderBy("page_id").collect()] == want
+
+
 # searches
 
 

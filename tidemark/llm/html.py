@@ -28,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,7 +43,7 @@ BROADCAST = 8 << 20
 #: Parts of a host that partitions' wrappers are aligned in first, and hosts that a partition holds at once.
 SALTS, HELD_HOSTS = 32, 2000
 
-#: How deep groups nest.
+#: How deep a wrapper's groups nest; the text of groups that lie deeper counts for the group around them.
 DEPTH = 150
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)""", re.S | re.I)
@@ -104,6 +105,16 @@ def parsed(html: str) -> Group:
     stack = [root]
     made: list[tuple[Group, Group]] = []
     named: list[Group] = []
+    # where each tag, and what isn't inline, stands in the stack
+    at: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            at[tag_of := stack.pop().tag].pop()
+            if tag_of not in INLINE:
+                blocks.pop()
+
     for m in TOKEN.finditer(html):
         text = m.group(8)
         if text is not None:
@@ -118,10 +129,8 @@ def parsed(html: str) -> Group:
             continue
         tag = tag.lower()
         if m.group(2) or m.group(5):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if at[tag]:
+                close(at[tag][-1])
             continue
         naming = m.group(4) or m.group(7) or ""
         names = [x.group(2).strip("\"'") for x in NAMING.finditer(naming)] if "=" in naming else []
@@ -132,28 +141,21 @@ def parsed(html: str) -> Group:
             if tag in ("br", "hr"):
                 stack[-1].children.append(" ")
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+        if tag in CLOSES_P and blocks and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in CLOSES:
-            closed, bound = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closed:
-                    del stack[k:]
-                    break
-                if stack[k].tag in bound:
-                    break
+            closed, bound = ([at[x][-1] for x in tags if at[x]] for tags in CLOSES[tag])
+            if closed and max(closed) > max(bound, default=0):
+                close(max(closed))
         group = Group(tag, tag + "".join("." + DIGITS.sub("0", x) for x in names), apart)
-        if len(stack) < DEPTH:  # what lies deeper joins the group around it
-            made.append((group, stack[-1]))
-            stack[-1].children.append(group)
-            stack.append(group)
-            if apart and tag not in APART:
-                named.append(group)
+        made.append((group, stack[-1]))
+        stack[-1].children.append(group)
+        at[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append(group)
+        if apart and tag not in APART:
+            named.append(group)
     if named:
         keep_most(root, made, named)
     return root
@@ -171,9 +173,22 @@ def key(item: list) -> str:
     return key(item[2][0]) if len(item[2]) == 1 else "(" + " ".join(map(key, item[2])) + ")+"
 
 
-def items_of(group: Group) -> list[list]:
+def below(group: Group) -> list[str]:
+    """All text in a group outside of what is apart in it."""
+    out: list[str] = []
+    todo: list[Group | str] = [group]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.apart:
+            todo.extend(reversed(x.children))
+    return out
+
+
+def items_of(group: Group, depth: int = 1) -> list[list]:
     out: list[list] = []
-    for c in group.children:
+    for c in group.children if depth < DEPTH else below(group):
         if isinstance(c, str):
             if n := len(c.strip()):
                 if out and out[-1][0] == "#":
@@ -181,7 +196,7 @@ def items_of(group: Group) -> list[list]:
                 else:
                     out.append(["#", 0, n])
         else:
-            out.append(["e", 0, c.label, c.apart, c.tag, items_of(c)])
+            out.append(["e", 0, c.label, c.apart, c.tag, items_of(c, depth + 1)])
     return folded(out)
 
 
