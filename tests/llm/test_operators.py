@@ -402,6 +402,27 @@ def test_warc_reads_plain_and_foreign_gzip_and_pushes_filters(spark, tmp_path):
     assert len(left) == 1 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 9
 
 
+def test_warc_long_headers(spark, tmp_path):
+    rng = random.Random(12)
+    urls = ["data:text/plain," + "".join(rng.choices("abcdefghijklmnop0123456789", k=n)) for n in (70_000, 65_500, 3_000_000)] + ["http://a/short"]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.archived(pages, path=str(tmp_path / "own")).collect()}
+    assert got == {k: (6, "response") for k in range(4)}
+    assert {r.uri for r in warc.read(spark, str(tmp_path / "own")).collect()} == set(urls)
+    made = [warc.record({"WARC-Type": "response", "WARC-Record-ID": f"<urn:x:{k}>", "WARC-Target-URI": u}, bytes(rng.randbytes(300_000)) + b"end%d" % k) for k, u in enumerate(urls * 2)]
+    (tmp_path / "all").mkdir()
+    (tmp_path / "all" / "a.warc").write_bytes(b"".join(made))
+    (tmp_path / "all" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    (tmp_path / "all" / "c.warc.gz").write_bytes(b"".join(map(warc.member, made)))
+    found = warc.read(spark, str(tmp_path / "all")).collect()
+    assert sorted((r.record_id, r.uri, bytes(r.payload[-4:]), r.payload_length) for r in found) == sorted([(f"<urn:x:{k}>", u, b"end%d" % k, 300_004) for k, u in enumerate(urls * 2)] * 3)
+    assert warc.read(spark, str(tmp_path / "all")).where(F.col("uri") == urls[0]).count() == 6
+    for bad in (b"WARC/1.1\r\nA: b", gzip.compress(b"WARC/1.1\r\nA: b"), warc.member(b"WARC/1.1\r\nA: b")):
+        (tmp_path / "bad.warc").write_bytes(bad)
+        with open(tmp_path / "bad.warc", "rb") as file, pytest.raises(ValueError, match="don't end"):
+            list(warc.records(file, warc.Wanted({}, set())))
+
+
 def test_warc_null_ids(spark):
     df = spark.createDataFrame([(None, "u", "same"), (3, None, "same"), (None, "u", "only")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.archived(df).collect()) == [("3", "response", "None"), ("None", "response", "None"), ("None", "revisit", "3")]

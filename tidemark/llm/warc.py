@@ -43,8 +43,8 @@ SCHEMA = "record_id string, record_type string, uri string, date string, refers_
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROWS = 256
-#: Bytes that are read at once, and at most the bytes of a record's headers.
-CHUNK, HEAD = 1 << 20, 1 << 16
+#: Bytes that are read at once.
+CHUNK = 1 << 20
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -136,7 +136,7 @@ def records(file, wanted: Wanted, payloads: bool = True) -> Iterator[tuple[dict[
 def _plain(src: Source, wanted: Wanted, payloads: bool) -> tuple | None:
     n = 4096
     while (head := parsed_head(src.need(n))) is None:
-        if len(src.held) < n or n > HEAD:
+        if len(src.held) < n or not src.held.startswith(b"WARC/"):
             raise ValueError("a record's headers don't end")
         n *= 2
     headers, size = head
@@ -154,35 +154,44 @@ def _zipped(src: Source, wanted: Wanted, payloads: bool) -> tuple | None:
     extra = src.need(24)
     whole = struct.unpack("<I", extra[16:20])[0] if len(extra) == 24 and extra[3] & 4 and extra[12:14] == b"sl" else 0
     inflate = zlib.decompressobj(31)
-    out = inflate.decompress(src.need(whole) if whole else src.need(CHUNK), 2048)
+    # what the decompressor was given and the file hasn't been stepped over yet
+    given = src.need(whole or CHUNK)
+    tail = given
+
+    def inflated(n: int) -> bytes:
+        """Up to n more bytes of the member; none at its end."""
+        nonlocal given, tail
+        while not inflate.eof:
+            part = inflate.decompress(tail, n)
+            tail = inflate.unconsumed_tail
+            if part or inflate.eof:
+                return part
+            if not tail:
+                if whole:
+                    raise ValueError("a member is cut short")
+                src.step(len(given))
+                given = tail = src.need(CHUNK)[:CHUNK]
+                if not given:
+                    raise ValueError("the file ends inside a member")
+        return b""
+
+    out = inflated(2048)
     while (head := parsed_head(out)) is None:
-        if len(out) > HEAD:
+        if not (part := inflated(max(2048, len(out)))):
             raise ValueError("a record's headers don't end")
-        out += inflate.decompress(inflate.unconsumed_tail or src.need(len(src.held) + 1)[-1:], 2048)
+        out += part
     headers, size = head
     length = int(headers.get("Content-Length", 0))
     keep = wanted(headers)
     if whole and not (keep and payloads):
         src.step(whole)
     else:
-        given = len(src.held) if not whole else whole
-        tail = inflate.unconsumed_tail
-        while True:
-            part = inflate.decompress(tail, CHUNK)
+        parts = [out]
+        while part := inflated(CHUNK):
             if keep:
-                out += part
-            tail = inflate.unconsumed_tail
-            if inflate.eof:
-                src.step(given - len(inflate.unused_data))
-                break
-            if not tail:
-                if whole:
-                    raise ValueError("a member is cut short")
-                src.step(given)
-                tail = src.need(CHUNK)
-                given = len(tail)
-                if not tail:
-                    raise ValueError("the file ends inside a member")
+                parts.append(part)
+        out = b"".join(parts)
+        src.step(len(given) - len(inflate.unused_data))
     return _row(headers, out[size : size + length], length, payloads) if keep else None
 
 
