@@ -352,6 +352,31 @@ def test_field_learns_and_decodes_exactly(spark):
     assert good / len(fresh) > 0.85
 
 
+def test_scores_of_long_words_read_all_of_them():
+    seen = []
+
+    class Seen(pii.Field):
+        def emission(self, names):
+            return names
+
+        def decode(self, emissions):
+            seen.extend(list(map(str, names)) for e in emissions for names in e)
+            return [[0] * len(e) for e in emissions]
+
+    start = "1" + "a-" * 150
+    texts = [start, start + "234@@.", start + "Z", "Xy-" + "z" * 90 + " 7" + " " * 90 + "w" * 90 + "-Q", "5 " + "-" * 250 + "X", "x7x", "A7"]
+    for order in (texts, texts[::-1]):
+        seen.clear()
+        pii.found_spans(order, Seen(), {})
+        want = []
+        for t in order:
+            w = ["", *t.split(), ""]
+            want += [pii.features(w[k], w[k - 1], w[k + 1]) for k in range(1, len(w) - 1) if pii.marked(w[k])]
+        assert seen == want
+    assert pii.shape("a-" * 300) == "x-" * 300 and pii.shape("a-" * 300, 8) == "x-" * 4
+    assert pii.beside(texts[3], 94, 95) == ("Xy-" + "z" * 90, "w" * 90 + "-Q")
+
+
 def test_personal_data(spark):
     texts = [None, "", "mail a.b@c.org, call (386) 555-3733 or +1 (386) 555-3733", "ip 10.0.0.1 999.1.1.1 v1.2.3.4", "card 4111 1111 1111 1111 not 4111111111111112", "é😀 x@y.zz", "words only " * 500]
     got = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, texts, True), pii.train(pii.labelled_table(spark))).collect()}

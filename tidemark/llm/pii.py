@@ -30,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Rows of the labelled table that training reads at most.
 LABELLED_ROWS = 5000
+#: Characters of a word up to which its scores are kept.
+LONG = 200
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -37,6 +39,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]")
+NEXT = re.compile(r"\s*(\S*)")
 #: What a card's or a telephone's span consists of.
 DIALLED = re.compile(r"[+0-9 ().-]+")
 EDGES = ".,;:!?\"'|<>[]{}"
@@ -81,12 +84,14 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def shape(word: str) -> str:
-    """Runs of capitals, small letters and digits as X, x and d; other characters as they are, repeated ones once."""
+def shape(word: str, first: int | None = None) -> str:
+    """Runs of capitals, small letters and digits as X, x and d; other characters as they are, repeated ones once. first: only so many."""
     out: list[str] = []
-    for c in word[:200]:
+    for c in word:
         s = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != s:
+            if len(out) == first:
+                break
             out.append(s)
     return "".join(out)
 
@@ -96,7 +101,7 @@ def features(word: str, before: str, after: str) -> list[str]:
     bare, n = word.strip(EDGES), len(digits_in(word))
     own = shape(bare)
     size = "0" if not n else str(n) if n < 6 else "6-7" if n < 8 else "8-15" if n < 16 else "16-19" if n < 20 else "20+"
-    return ["s:" + own, "n:" + size, "s:" + own + "|n:" + size, "b:" + shape(before.strip(EDGES))[:8], "a:" + shape(after.strip(EDGES))[:8], "@" + str(min(word.count("@"), 2)), "e:" + word[-1:] * (word[-1:] in EDGES)]
+    return ["s:" + own, "n:" + size, "s:" + own + "|n:" + size, "b:" + shape(before.strip(EDGES), 8), "a:" + shape(after.strip(EDGES), 8), "@" + str(min(word.count("@"), 2)), "e:" + word[-1:] * (word[-1:] in EDGES)]
 
 
 def marked(word: str) -> bool:
@@ -275,9 +280,11 @@ def runs_of(text: str) -> list[list[tuple[int, int]]]:
 
 
 def beside(text: str, a: int, b: int) -> tuple[str, str]:
-    """The ends of the words before a and after b that their shapes are taken from."""
-    left, right = text[max(0, a - 60) : a].split(), text[b : b + 60].split()
-    return left[-1] if left else "", right[0] if right else ""
+    """The words before a and after b."""
+    n = 60
+    while len(left := text[max(0, a - n) : a].split()) < 2 and n < a:  # the last of several is whole
+        n *= 2
+    return left[-1] if left else "", NEXT.match(text, b).group(1)
 
 
 def fits(kind: str, text: str) -> bool:
@@ -300,7 +307,10 @@ def found_spans(texts: list[str], field: Field, kept: dict[tuple[str, str, str],
             own = []
             for a, b in run:
                 before, after = beside(t, a, b)
-                key = (shape(before.strip(EDGES))[:8], t[a:b] if b - a < 40 else t[a:b][:200], shape(after.strip(EDGES))[:8])
+                if b - a > LONG:
+                    own.append(field.emission(features(t[a:b], before, after)))
+                    continue
+                key = (shape(before.strip(EDGES), 8), t[a:b], shape(after.strip(EDGES), 8))
                 if (e := kept.get(key)) is None:
                     if len(kept) > 200_000:
                         kept.clear()
