@@ -189,6 +189,18 @@ def test_line_dedup_small_cells_and_full_bit_table(spark):
     assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == want
 
 
+def test_line_dedup_lines_of_hashes_alike_in_20_bits(spark):
+    base = " ".join(words(random.Random(7), 40))
+    seen, pairs = {}, []
+    for k in range(10000):
+        line = f"{base} {k}"
+        other = seen.setdefault(line_dedup.line_hash(line) & 0xFFFFF, line)
+        pairs += [(other, line)] if other != line else []
+    assert len(pairs) > 10
+    for pair in pairs[:2]:
+        assert [r.text for r in line_dedup.dedup_lines(docs_of(spark, pair)).orderBy("doc_id").collect()] == exact_lines(pair) == [pair[0], ""]
+
+
 def test_line_dedup_rows_without_id_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "some repeated line here", "en", "s", 0), (1, "some repeated line here", "en", "s", 0), (1, "some repeated line here", "en", "s", 0), (2, "some repeated line here\nother", "en", "s", 0)], DOCS)
     got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(docs).collect())

@@ -14,8 +14,8 @@ component the first occurrence (smallest doc_id, then line) stays.
 Equal lines count once: their hash stands for them, and text moves only for lines
 that share a bucket, which a bit table of fixed size (`bits`) tells apart on the
 way; if it fills up, more text moves and the result is the same. Which buckets hold
-two lines is told from eight bytes a line and bucket: the upper bits are the bucket,
-the lower ones tell lines apart; a task sends at most two lines of a bucket.
+two lines is told from sixteen bytes a line and bucket, the bucket and the line's
+hash; a task sends at most two lines of a bucket.
 
 Nulls: a null text has no lines; a document without a doc_id takes no part and
 stays as it is. Rows that repeat a doc_id are one document and get the same lines.
@@ -42,7 +42,7 @@ CELL = 512
 ESTIMATE = 0.6
 #: Characters below which lines are compared whatever the estimate, as few shingles make it rough.
 SHORT = 100
-#: A bucket key's upper bits; the lower ones tell lines apart.
+#: The bits of a hash that make a bucket's key.
 KEY = -(1 << 20)
 #: Bucket entries that a task holds before it sends them on.
 HELD = 1 << 21
@@ -144,24 +144,31 @@ def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, keys array<bigint>")
 
 
-def _two_of_each(packed: np.ndarray) -> np.ndarray:
-    """Sorted entries, of each bucket the first and the last if these differ, else one."""
-    packed = np.sort(packed)
-    edge = (packed[1:] & KEY) != (packed[:-1] & KEY)
-    first, last = packed[np.concatenate([[True], edge])], packed[np.concatenate([edge, [True]])]
-    return np.concatenate([first, last[last != first]])
+def _two_of_each(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and lines: of each bucket the smallest line's hash and, if there is another, the largest one's."""
+    order = np.argsort(keys)
+    keys, h = keys[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    own, low, high = keys[first], np.minimum.reduceat(h, first), np.maximum.reduceat(h, first)
+    more = low != high
+    return np.concatenate([own, own[more]]), np.concatenate([low, high[more]])
 
 
 def _shared(lines: DataFrame) -> DataFrame:
     """key: the buckets of more than one line. Entries travel packed, a block of bytes for each part and task."""
     parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    def two(held: list[np.ndarray]) -> np.ndarray:
+        """Entries as rows of a bucket and a line."""
+        both = np.concatenate(held)
+        return np.stack(_two_of_each(both[:, 0], both[:, 1]), 1)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            own = _two_of_each(np.concatenate(held))
-            part = ((own & KEY).view(np.uint64) * MIX >> np.uint64(32)).astype(np.int64) % parts
+            own = two(held)
+            part = (own[:, 0].view(np.uint64) * MIX >> np.uint64(32)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
             own, ends = own[order], np.searchsorted(part[order], np.arange(parts + 1))
             held.clear()
@@ -171,7 +178,7 @@ def _shared(lines: DataFrame) -> DataFrame:
             h, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             flat = keys.flatten().to_numpy(zero_copy_only=False)
             if len(flat):
-                held.append(flat | np.repeat(h & ~KEY, np.diff(keys.offsets.to_numpy())))
+                held.append(np.stack([flat, np.repeat(h, np.diff(keys.offsets.to_numpy()))], 1))
             if sum(map(len, held)) > HELD:
                 yield out()
         if held:
@@ -180,12 +187,11 @@ def _shared(lines: DataFrame) -> DataFrame:
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist() if x]
+            held += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column(1).to_pylist() if x]
             if sum(map(len, held)) > HELD:
-                held = [_two_of_each(np.concatenate(held))]
+                held = [two(held)]
         if held:
-            keys = _two_of_each(np.concatenate(held)) & KEY
-            keys = np.sort(keys)
+            keys = np.sort(two(held)[:, 0])
             keys = np.unique(keys[1:][keys[1:] == keys[:-1]])
             for k in range(0, len(keys), 100_000):
                 yield pa.record_batch({"key": pa.array(keys[k : k + 100_000], pa.int64())})
