@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that is unset (as in tests on one machine) a local folder stands in.
+    Only where that is unset on a single machine (master local) a local folder stands in;
+    on a cluster, whose executors wouldn't see it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,19 +44,26 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, which survives the loss of executors; and its path."""
+def written(df: DataFrame, what: str, **options: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, which survives the loss of executors; and its path. options: the writer's."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
     # the shuffles of this job aren't read again: their files can go at its end
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def unused(name: str, taken: set[str]) -> str:
+    """A column name that isn't among those taken (lower case)."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Deletes written tables that no later step reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -83,14 +94,35 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are held as Python objects at once."""
+#: Bytes of text up to which rows are a slice.
+SLICE = 1 << 21
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, texts: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are held as Python objects at once.
+
+    At most `rows` rows, and of the given text columns no more than SLICE bytes but for one longer row.
+    """
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        ends = np.zeros(batch.num_rows, np.int64)
+        for k in texts:
+            ends += np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        k = 0
+        while k < batch.num_rows:
+            last = int(np.searchsorted(ends[k : k + rows], (ends[k - 1] if k else 0) + SLICE, "right")) if texts else rows
+            last = min(k + max(last, 1), batch.num_rows)
+            yield batch.slice(k, last - k)
+            k = last
     freed()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of the session hold `rows` rows at most, as whole texts and pages are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union-find over the links u-v: (node, smallest node of its component) for nodes that aren't it."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)

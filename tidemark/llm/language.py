@@ -2,8 +2,11 @@
 
 Each language has a model of order five over the letters of its words, with marks
 for a word's start and end. Counts are kept as sorted arrays of n-gram hashes. A
-text's language is the one with the lowest cross-entropy per character; one that
-fits no language, as held-out documents calibrate, is rejected.
+text's language is the one with the lowest cross-entropy per character. Calibration
+documents, which the models haven't seen, give each language the mean and spread of
+its cross-entropy (wider for short texts) and, by an exponential tail fitted to
+their uppermost tenth, the limit that a document of the language passes at a given
+rate only (`false_rejections`); a text beyond it is rejected.
 
 The models are fitted on a bounded sample (docs_per_lang documents a language,
 drawn by a hash of doc_id); every document is predicted, from its whole text.
@@ -18,15 +21,17 @@ length are read whole, a few hundred documents at a time. Other columns are not
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import sliced, texts_of
@@ -37,8 +42,8 @@ UNKNOWN = "und"
 #: Marks that no letter equals.
 START, END = 1, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Least spread between documents: texts that mix known languages or repeat words stay within twelve of these.
-LEAST_SPREAD = 0.1
+#: Least spreads between documents and of a single character, and the share of calibration documents that the tail is fitted to.
+LEAST_SPREAD, LEAST_SINGLE, TAIL = 0.01, 0.1, 0.1
 #: How many words' scores a worker keeps at once, and how many documents it reads at once.
 KEPT_WORDS, DOCUMENTS = 250_000, 256
 
@@ -129,19 +134,18 @@ class LanguageModel:
     models: list[KneserNey]
     keys: np.ndarray
     logs: np.ndarray
-    #: By language: mean, spread between documents, and spread of a single character, of the cross-entropy.
-    fit_of: dict[str, tuple[float, float, float]]
-    spread: float
+    #: By language, of the cross-entropy: mean, spread between documents and of a single character, and how many spreads above the mean are too many.
+    fit_of: dict[str, tuple[float, float, float, float]]
 
     @classmethod
-    def of(cls, models: dict[str, KneserNey], spread: float) -> LanguageModel:
+    def of(cls, models: dict[str, KneserNey]) -> LanguageModel:
         langs = sorted(models)
         own = [models[x] for x in langs]
         if not own:
-            return cls([], [], np.empty(0, np.uint64), np.empty((0, 0), np.float32), {}, spread)
+            return cls([], [], np.empty(0, np.uint64), np.empty((0, 0), np.float32), {})
         w = np.concatenate([m.seen for m in own])
         keys, one = np.unique(hashes(w, 0, ORDER), return_index=True)
-        return cls(langs, own, keys, np.stack([m.log_p(w[one]) for m in own], 1).astype(np.float32), {}, spread)
+        return cls(langs, own, keys, np.stack([m.log_p(w[one]) for m in own], 1).astype(np.float32), {})
 
     def words(self, words: list[str]) -> np.ndarray:
         """For each word and language the sum of its logarithms, and in the last column its characters."""
@@ -177,24 +181,35 @@ class LanguageModel:
         entropy = -sums[:, :-1] / np.maximum(n, 1)[:, None]
         return [int(e.argmin()) if m else -1 for e, m in zip(entropy, n, strict=True)], entropy, n
 
-    def judged(self, texts: list[str], kept: dict, rows: list) -> tuple[list[str], list[float], list[bool], list[float]]:
-        """Language, score, whether rejected, and cross-entropy of each text."""
+    def judged(self, texts: list[str], kept: dict, rows: list) -> tuple[list[str], list[float], list[bool], list[float], list[int]]:
+        """Language, score, whether rejected, cross-entropy and characters of each text."""
         if not self.langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts), [0.0] * len(texts), [0] * len(texts)
         best, entropy, n = self.texts(texts, kept, rows)
         langs, scores, rejected, lows = [], [], [], []
         for b, e, m in zip(best, entropy, n, strict=True):
             if b < 0:
                 langs.append(UNKNOWN), scores.append(0.0), rejected.append(True), lows.append(0.0)
                 continue
-            share = np.exp(-(e - e[b]) * min(m, 60))
-            mean, between, single = self.fit_of.get(self.langs[b], (e[b], 1.0, 1.0))
-            away = (e[b] - mean) / math.hypot(between, single / math.sqrt(m)) if between or single else 0.0
+            share = np.exp(-(e - e[b]) * m)
+            mean, between, single, limit = self.fit_of.get(self.langs[b], (e[b], 1.0, 1.0, math.inf))
+            away = (e[b] - mean) / math.hypot(between, single / math.sqrt(m))
             langs.append(self.langs[b])
-            scores.append(float(1 / share.sum() / (1 + math.exp(min(50.0, away - self.spread)))))
-            rejected.append(bool(away > self.spread))
+            scores.append(float(1 / share.sum() / (1 + math.exp(min(50.0, away - limit)))))
+            rejected.append(bool(away > limit))
             lows.append(float(e[b]))
-        return langs, scores, rejected, lows
+        return langs, scores, rejected, lows, n.astype(int).tolist()
+
+    def calibrate(self, lang: str, entropy: np.ndarray, n: np.ndarray, false_rejections: float) -> None:
+        """Sets a language's mean, spreads and limit from the cross-entropies and characters of its documents."""
+        mean = float(np.median(entropy))
+        away = entropy - mean
+        between = max(float(np.median(np.abs(away[n >= np.median(n)]))) * 1.4826, LEAST_SPREAD)
+        single = max(float(np.median(np.abs(away) * np.sqrt(n))) * 1.4826, LEAST_SINGLE)
+        z = away / np.hypot(between, single / np.sqrt(n))
+        start = float(np.quantile(z, 1 - TAIL))
+        beyond = z[z > start] - start
+        self.fit_of[lang] = (mean, between, single, start + max(1.0, float(beyond.mean()) if len(beyond) else 1.0) * math.log(TAIL / false_rejections))
 
 
 def remainder(docs: DataFrame) -> Column:
@@ -220,31 +235,27 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    from pyspark import cloudpickle
-
     rows = rows.sort_values("word")
     model = KneserNey.fit(rows["word"].tolist(), rows["n"].to_numpy())
     return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "model": [cloudpickle.dumps((model.orders, model.letters, model.seen))]})
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 1500, calibration_docs: int = 400, spread: float = 12.0) -> LanguageModel:
+def fit(docs: DataFrame, docs_per_lang: int = 1500, calibration_docs: int = 400, false_rejections: float = 1e-4) -> LanguageModel:
     """Learns from labelled documents that aren't held out.
 
     docs_per_lang bounds each language's sample (it may be off by a few in a
     hundred, as a hash draws it), calibration_docs that of the documents which set
-    the mean and spread of a language's cross-entropy; a text more than `spread`
-    of these spreads above the mean is rejected. Models, not documents, come to
-    the driver; their size is bounded by the sample's.
+    the mean, the spread and the limit of a language's cross-entropy, which about
+    one in 1 / false_rejections of its documents pass. Models, not documents, come
+    to the driver; their size is bounded by the sample's.
     """
-    import pickle
-
     learn = docs.select("doc_id", "lang", "text").where((remainder(docs) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not counts:
-        return LanguageModel.of({}, spread)
+        return LanguageModel.of({})
     sample = learn.where(_drawn(counts, 0, docs_per_lang)).select("lang", "text")
     words = sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    model = LanguageModel.of({r["lang"]: KneserNey(*pickle.loads(r["model"])) for r in words.groupBy("lang").applyInPandas(_fit, "lang string, model binary").collect()}, spread)
+    model = LanguageModel.of({r["lang"]: KneserNey(*pickle.loads(r["model"])) for r in words.groupBy("lang").applyInPandas(_fit, "lang string, model binary").collect()})
     # documents next to the sample; where a language has no more than the sample, those of the sample
     low = {x: (docs_per_lang if n > docs_per_lang + calibration_docs else max(0, min(n, docs_per_lang) - calibration_docs)) for x, n in counts.items()}
     held = F.lit(False)
@@ -253,26 +264,28 @@ def fit(docs: DataFrame, docs_per_lang: int = 1500, calibration_docs: int = 400,
     own = _judged(learn.where(held), model)
     seen = own.where("lang = lang_pred").select("lang", "entropy", "n").toPandas()
     for lang, e in seen.groupby("lang"):
-        mean = float(e["entropy"].median())
-        away = (e["entropy"] - mean).abs()
-        between = float(away[e["n"] >= e["n"].median()].median() * 1.4826)
-        single = float((away * np.sqrt(e["n"])).median() * 1.4826)
-        model.fit_of[lang] = (mean, max(between, LEAST_SPREAD), max(single, 0.1))
+        model.calibrate(lang, e["entropy"].to_numpy(), e["n"].to_numpy(), false_rejections)
     return model
 
 
+def _sent(spark: SparkSession, model: LanguageModel) -> Callable[[], LanguageModel]:
+    """The model on the workers, with its class by value, so that they need no copy of this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(sent.value)
+
+
 def _judged(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (kept, rows) = sent.value, ({}, [])
+        m, (kept, rows) = sent(), ({}, [])
         for batch in sliced(batches, DOCUMENTS):
             texts = texts_of(batch.column(2))
-            langs, scores, rejected, lows = m.judged(texts, kept, rows)
+            langs, scores, rejected, lows, n = m.judged(texts, kept, rows)
             yield pa.record_batch(
                 {
                     "doc_id": batch.column(0), "lang": batch.column(1), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()),
-                    "rejected": pa.array(rejected, pa.bool_()), "entropy": pa.array(lows, pa.float64()), "n": pa.array([len(t) for t in texts], pa.int64()),
+                    "rejected": pa.array(rejected, pa.bool_()), "entropy": pa.array(lows, pa.float64()), "n": pa.array(n, pa.int64()),
                 }
             )
 
@@ -288,11 +301,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of docs, all columns, whose text isn't rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _sent(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (kept, rows) = sent.value, ({}, [])
+        m, (kept, rows) = sent(), ({}, [])
         for batch in sliced(batches, DOCUMENTS):
             yield batch.filter(pa.array([not x for x in m.judged(texts_of(batch.column(at)), kept, rows)[2]], pa.bool_()))
 

@@ -25,6 +25,7 @@ columns are kept, but that n_chars, where there is one, follows the text.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +34,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, removed, sliced, texts_of, written
+from tidemark.llm.common import by_worker, components, forest, removed, sliced, small_batches, texts_of, unused, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 6
-#: Lines that meet in a cell of an open bucket.
-CELL = 512
-#: Share of equal bins below which two lines of an open bucket aren't compared: 0.8 less five spreads of the estimate.
-ESTIMATE = 0.6
-#: Characters below which lines are compared whatever the estimate, as few shingles make it rough.
-SHORT = 100
+#: Lines that meet in a cell of an open bucket, and of these so many that a line meets at a time.
+CELL, TURN = 512, 32
+#: Characters that are hashed at once, and shingles that are looked up at once.
+CHARACTERS, AT_ONCE = 1 << 16, 1 << 18
 #: The bits of a hash that make a bucket's key.
 KEY = -(1 << 20)
 #: Bucket entries that a task holds before it sends them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Bits of the table that tells which lines share a bucket.
 BITS = 1 << 25
-DOCUMENTS = 128
+DOCUMENTS, PAIRS = 128, 1024
 SEEN = 500_000
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x01000193)
 
@@ -63,15 +62,24 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingle_set(line: str, size: int = SHINGLE) -> frozenset[str]:
-    return frozenset(line[k : k + size] for k in range(max(1, len(line) - size + 1)))
+#: White space besides the space and the line break.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+ASCII_SPACES = "".join(c for c in SPACES if c < "\x80")
 
 
-def similar(a: frozenset, b: frozenset, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= least * (len(a) + len(b) - both)
+def normal_lines(text: str) -> list[str]:
+    """normal() of each line; in one step where there is no white space but single spaces inside of lines."""
+    text = text.lower()
+    if not (
+        any(c in text for c in (ASCII_SPACES if text.isascii() else SPACES))
+        or "  " in text or " \n" in text or "\n " in text or text.startswith(" ") or text.endswith(" ")
+    ):
+        return text.split("\n")
+    return [" ".join(x.split()) for x in text.split("\n")]
+
+
+def shingle_set(line: str, size: int = SHINGLE) -> frozenset[str]:
+    return frozenset(line[k : k + size] for k in range(max(1, len(line) - size + 1)))
 
 
 def signatures(lines: list[str], bins: int, size: int = SHINGLE) -> np.ndarray:
@@ -84,138 +92,255 @@ def signatures(lines: list[str], bins: int, size: int = SHINGLE) -> np.ndarray:
         h *= BASE
         h += codes[k : len(codes) - size + 1 + k]
     h = h * MIX
-    line = np.repeat(np.arange(len(lines)), lengths)
-    whole = np.ones(len(h), bool)  # shingles that don't run over a line's end
-    ends = np.cumsum(lengths)
-    for k in range(1, size):
-        over = ends[:-1] - k
-        whole[over[over < len(h)]] = False
-    h, line = h[whole], line[: len(whole)][whole]
-    at = line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    at = np.repeat(np.arange(0, len(lines) * bins, bins), lengths)[: len(h)]
+    at += ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+    over = np.cumsum(lengths)[:-1]
+    for k in range(1, size):  # shingles that run over a line's end go to a bin of no line
+        at[over - k] = len(lines) * bins
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full(len(lines) * bins, empty, np.uint64)
-    np.minimum.at(out, at, (h ^ h >> np.uint64(29)) * MIX >> np.uint64(8))
-    own = out.reshape(-1, bins)
+    out = np.full(len(lines) * bins + 1, empty, np.uint64)
+    h ^= h >> np.uint64(29)
+    h *= MIX
+    h >>= np.uint64(8)
+    np.minimum.at(out, at, h)
+    own = out[:-1].reshape(-1, bins)
+    row, col = np.nonzero(own == empty)
     first = own.copy()
-    rng = np.random.default_rng(11)
-    for _ in range(48):
-        borrowed = rng.integers(0, bins, bins)
-        hole = own == empty
-        if not hole.any():
-            return own
-        own = np.where(hole, first[:, borrowed], own)
-    return np.where(own == empty, first.min(1, keepdims=True), own)
+    for borrowed in borrowings(bins):
+        if not len(row):
+            break
+        own[row, col] = first[row, borrowed[col]]
+        hole = own[row, col] == empty
+        row, col = row[hole], col[hole]
+    if len(row):
+        own[row, col] = first.min(1)[row]
+    return own
+
+
+def borrowings(bins: int) -> np.ndarray:
+    """For each round and bin the bin that it borrows from."""
+
+    def drawn() -> np.ndarray:
+        rng = np.random.default_rng(11)
+        return np.stack([rng.integers(0, bins, bins) for _ in range(48)])
+
+    return by_worker(f"borrowings:{bins}", drawn)
+
+
+def parted(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in parts of about CHARACTERS, so that arrays stay small; a longer line is a part of its own."""
+    part, held = [], 0
+    for x in lines:
+        if held and held + len(x) > CHARACTERS:
+            yield part
+            part, held = [], 0
+        part.append(x)
+        held += len(x)
+    if part:
+        yield part
 
 
 def band_keys(lines: list[str], bands: int, rows: int, size: int = SHINGLE) -> np.ndarray:
     """Bucket keys by line and band."""
-    sig = signatures(lines, bands * rows, size).reshape(len(lines), bands, rows)
-    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * MIX, sig.shape[:2]).copy()
-    for k in range(rows):
-        key = (key ^ sig[:, :, k]) * MIX
-        key ^= key >> np.uint64(31)
-    return key.view(np.int64) & KEY
+    out = []
+    for part in parted(lines):
+        sig = signatures(part, bands * rows, size).reshape(len(part), bands, rows)
+        key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * MIX, sig.shape[:2]).copy()
+        for k in range(rows):
+            key = (key ^ sig[:, :, k]) * MIX
+            key ^= key >> np.uint64(31)
+        out.append(key.view(np.int64) & KEY)
+    return np.concatenate(out)
+
+
+class ShingleSets:
+    """The shingle sets of some lines as one sorted array, for exact similarities of many pairs at once."""
+
+    def __init__(self, lines: list[str], size: int = SHINGLE):
+        # no valid text holds the character that fills up short lines
+        lines = [x if len(x) >= size else x + "\ud800" * (size - len(x)) for x in lines]
+        self.bits, self.room, self.number = 7, 62 - len(lines).bit_length(), None
+        if not all(map(str.isascii, lines)):
+            alphabet = np.array(sorted(map(ord, set().union(*lines))))
+            self.number = np.zeros(int(alphabet[-1]) + 1, np.int64)
+            self.number[alphabet] = np.arange(len(alphabet))
+            self.bits = len(alphabet).bit_length()
+        # a large alphabet, whose shingles are numbered on the way, takes all lines at once
+        parts = list(parted(lines)) if size * self.bits <= self.room else [lines]
+        firsts = np.cumsum([0] + [len(x) for x in parts])
+        self.width = 0
+        every = [self.coded(x, first, size) for x, first in zip(parts, firsts.tolist(), strict=False)]
+        self.every = np.concatenate(every) if every else np.empty(0, np.int64)
+        self.start = np.searchsorted(self.every, np.arange(len(lines) + 1) << self.width)
+        self.count = np.diff(self.start)
+
+    def coded(self, lines: list[str], first: int, size: int) -> np.ndarray:
+        """The distinct shingles of some lines, each with its line's number above it, sorted. first: the first line's number."""
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(x) for x in lines])
+        letters = codes.astype(np.int64) if self.number is None else self.number[codes]
+        m = len(letters) - size + 1
+        code, width = letters[:m], self.bits
+        for k in range(1, size):
+            if width + self.bits > self.room:  # the parts met so far are numbered anew
+                met, code = np.unique(code, return_inverse=True)
+                width = len(met).bit_length()
+            code = code << self.bits
+            code |= letters[k : m + k]
+            width += self.bits
+        self.width = width
+        code |= np.repeat(np.arange(first, first + len(lines)) << width, lengths)[:m]
+        over = np.cumsum(lengths)[:-1]
+        for k in range(1, size):  # those that run over a line's end: that line's first shingle once more
+            code[over - k] = code[over - lengths[:-1]]
+        code.sort()
+        new = np.ones(m, bool)
+        new[1:] = code[1:] != code[:-1]
+        return code[new]
+
+    def similar(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Whether lines a[k] and b[k] have a Jaccard similarity of `least` or more."""
+        small, large = np.where(self.count[a] <= self.count[b], a, b), np.where(self.count[a] <= self.count[b], b, a)
+        out = np.zeros(len(a), bool)
+        near = np.flatnonzero(self.count[small] >= least * self.count[large])
+        ends = np.cumsum(self.count[small[near]])
+        k = 0
+        while k < len(near):
+            last = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + AT_ONCE)))
+            own = near[k:last]
+            n = self.count[small[own]]
+            pair = np.repeat(np.arange(len(own)), n)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + self.start[small[own]][pair]
+            want = (self.every[at] & ((1 << self.width) - 1)) | large[own][pair] << self.width
+            place = np.minimum(np.searchsorted(self.every, want), len(self.every) - 1)
+            both = np.bincount(pair[self.every[place] == want], minlength=len(own))
+            out[own] = both >= least * (n + self.count[large[own]] - both)
+            k = last
+        return out
 
 
 def _lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, line, h of each line that isn't blank; keys: its buckets, where the task hasn't just given them."""
+    """doc_id, line, h of each line that isn't blank; keys: its buckets, eight bytes each, none where the task has just given them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in sliced(batches, DOCUMENTS):
-            ids, numbers, hashes, new, where = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                for n, line in enumerate(text.split("\n")):
-                    if own := normal(line):
+        for batch in sliced(batches, DOCUMENTS, (1,)):
+            at, numbers, hashes, new, given = [], [], [], [], []
+            for k, text in enumerate(texts_of(batch.column(1))):
+                for n, own in enumerate(normal_lines(text)):
+                    if own:
                         h = line_hash(own)
-                        ids.append(doc), numbers.append(n), hashes.append(h)
-                        if h not in seen:
+                        at.append(k), numbers.append(n), hashes.append(h), given.append(h not in seen)
+                        if given[-1]:
                             seen.add(h)
-                            new.append(own), where.append(len(ids) - 1)
-            keys: list = [None] * len(ids)
-            if new:
-                for at, row in zip(where, band_keys(new, bands, rows).tolist(), strict=True):
-                    keys[at] = row
+                            new.append(own)
+            keys = band_keys(new, bands, rows).ravel() if new else np.empty(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.array(given, np.int32) * (8 * bands))]).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(given), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.record_batch({"doc_id": pa.array(ids, batch.column(0).type), "line": pa.array(numbers, pa.int32()), "h": pa.array(hashes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": batch.column(0).take(pa.array(at, pa.int32())), "line": pa.array(numbers, pa.int32()), "h": pa.array(hashes, pa.int64()), "keys": blobs})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, keys array<bigint>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h long, keys binary")
+
 
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and lines of rows h, keys."""
+    h, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    ends = np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1, 4 * keys.offset) if len(keys) else np.zeros(1, np.int32)
+    n = int(ends[-1] - ends[0])
+    flat = np.frombuffer(keys.buffers()[2], np.int64, n // 8, int(ends[0])) if n else np.empty(0, np.int64)
+    return flat, np.repeat(h, np.diff(ends) // 8)
 
-def _two_of_each(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and lines: of each bucket the smallest line's hash and, if there is another, the largest one's."""
-    order = np.argsort(keys)
-    keys, h = keys[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    own, low, high = keys[first], np.minimum.reduceat(h, first), np.maximum.reduceat(h, first)
-    more = low != high
-    return np.concatenate([own, own[more]]), np.concatenate([low, high[more]])
+
+def _two_of_each(entries: np.ndarray) -> np.ndarray:
+    """Rows of bucket and line, sorted by bucket: of each bucket the smallest line and, if there is another, the largest.
+
+    A bucket's key leaves its low bits free, which hold the row's number while keys are sorted.
+    """
+    parts = []
+    for k in range(0, len(entries), -KEY):
+        part = entries[k : k - KEY]
+        own = np.sort(part[:, 0].view(np.uint64) | np.arange(len(part), dtype=np.uint64))
+        order = (own & np.uint64(~KEY)).view(np.int64)
+        keys, h = own & np.uint64(KEY & (1 << 64) - 1), part[:, 1][order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        low, high = np.minimum.reduceat(h, first), np.maximum.reduceat(h, first)
+        two = np.repeat(first, 1 + (low != high))
+        out = np.stack([keys[two].view(np.int64), np.repeat(low, 1 + (low != high))], 1)
+        second = np.flatnonzero(np.concatenate([[False], two[1:] == two[:-1]]))
+        out[second, 1] = high[low != high]
+        parts.append(out)
+    if len(parts) == 1:
+        return parts[0]
+    both = np.concatenate(parts)
+    if len(both) <= -KEY:
+        return _two_of_each(both)
+    both = both[np.lexsort((both[:, 1], both[:, 0].view(np.uint64)))]
+    edge = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0], [True]]))
+    return both[np.unique(np.concatenate([edge[:-1], edge[1:] - 1]))]
 
 
 def _shared(lines: DataFrame) -> DataFrame:
-    """key: the buckets of more than one line. Entries travel packed, a block of bytes for each part and task."""
-    parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """key and lead, the smallest line, of the buckets of more than one line.
 
-    def two(held: list[np.ndarray]) -> np.ndarray:
-        """Entries as rows of a bucket and a line."""
-        both = np.concatenate(held)
-        return np.stack(_two_of_each(both[:, 0], both[:, 1]), 1)
+    Entries travel packed, a block of bytes for each part and task. A part is a range of keys.
+    """
+    tasks = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = 8 * tasks  # several for a task, which they are dealt to by hash
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            own = two(held)
-            part = (own[:, 0].view(np.uint64) * MIX >> np.uint64(32)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            own, ends = own[order], np.searchsorted(part[order], np.arange(parts + 1))
+            own = _two_of_each(np.concatenate(held))
             held.clear()
+            part = ((own[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            ends = np.searchsorted(part, np.arange(parts + 1))
             return pa.record_batch({"part": pa.array(range(parts), pa.int32()), "block": pa.array([own[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
         for batch in batches:
-            h, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            flat, h = _entries(batch)
             if len(flat):
-                held.append(np.stack([flat, np.repeat(h, np.diff(keys.offsets.to_numpy()))], 1))
+                held.append(np.stack([flat, h], 1))
             if sum(map(len, held)) > HELD:
                 yield out()
         if held:
             yield out()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = defaultdict(list)
         for batch in batches:
-            held += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column(1).to_pylist() if x]
-            if sum(map(len, held)) > HELD:
-                held = [two(held)]
-        if held:
-            keys = np.sort(two(held)[:, 0])
-            keys = np.unique(keys[1:][keys[1:] == keys[:-1]])
-            for k in range(0, len(keys), 100_000):
-                yield pa.record_batch({"key": pa.array(keys[k : k + 100_000], pa.int64())})
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = held[part]
+                own.append(np.frombuffer(block, np.int64).reshape(-1, 2))
+                if sum(map(len, own)) > 2 * HELD:
+                    held[part] = [_two_of_each(np.concatenate(own))]
+        for part in sorted(held):
+            if len(own := np.concatenate(held.pop(part))):
+                own = _two_of_each(own)
+                own = own[np.flatnonzero(own[1:, 0] == own[:-1, 0])]  # the smaller one of two
+                yield pa.record_batch({"key": pa.array(own[:, 0], pa.int64()), "lead": pa.array(own[:, 1], pa.int64())})
 
-    blocks = lines.where("keys is not null").select("h", "keys").mapInArrow(packed, "part int, block binary")
-    return blocks.repartition(parts, "part").mapInArrow(met, "key long")
+    blocks = lines.select("h", "keys").mapInArrow(packed, "part int, block binary")
+    return blocks.repartition(tasks, "part").mapInArrow(met, "key long, lead long")
 
 
 def _members(lines: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """key, h: the lines of shared buckets."""
+    """key, h, lead: the lines of shared buckets."""
     sent = lines.sparkSession.sparkContext.broadcast(_bit_table(shared.select(F.shiftright("key", 20).alias("h")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            keys = batch.column(1)
-            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            flat, h = _entries(batch)
             place = (flat >> 20) % bits
             hit = (table[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
-            h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
             yield pa.record_batch({"key": pa.array(flat[hit], pa.int64()), "h": pa.array(h[hit], pa.int64())})
 
-    found = lines.where("keys is not null").select("h", "keys").mapInArrow(run, "key long, h long")
-    return found.distinct().join(shared, "key", "left_semi")
+    found = lines.select("h", "keys").mapInArrow(run, "key long, h long")
+    return found.distinct().join(shared, "key")
 
 
 def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -233,11 +358,11 @@ def _texts(docs: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = sent.value, set()
-        for batch in sliced(batches, 512):
+        for batch in sliced(batches, 512, (0,)):
             own, texts = [], []
             for text in texts_of(batch.column(0)):
-                for line in text.split("\n"):
-                    if line := normal(line):
+                for line in normal_lines(text):
+                    if line:
                         h = line_hash(line)
                         place = h % bits
                         if table[place >> 5] >> (place & 31) & 1 and h not in seen:
@@ -251,15 +376,18 @@ def _texts(docs: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
     return found.join(hashes, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
 
 
+def _numbered(column: pa.Array) -> tuple[np.ndarray, list]:
+    """For each row the number of its value, and the distinct values."""
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
 def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """u, v, whether they are similar."""
-    for batch in batches:
-        last, lead = None, frozenset()
-        ok = []
-        for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if v != last:
-                last, lead = v, shingle_set(b)
-            ok.append(similar(shingle_set(a), lead, least))
+    for batch in sliced(batches, PAIRS, (2, 3)):
+        both, texts = _numbered(pa.concat_arrays([batch.column(2), batch.column(3)]))
+        n = batch.num_rows
+        ok = ShingleSets(texts).similar(both[:n], both[n:], least) if n else np.empty(0, bool)
         yield pa.record_batch({"u": batch.column(0), "v": batch.column(1), "ok": pa.array(ok, pa.bool_())})
 
 
@@ -269,76 +397,71 @@ def _cell_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
     like: similar to the bucket's smallest line, or that line itself. Each cell gives a
     spanning forest.
     """
-    held: list[tuple] = []
-    for batch in batches:
-        rows = held + list(zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True))
+    held: list[pa.RecordBatch] = []
+    for batch in sliced(batches, PAIRS, (5,)):
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key, cell = (rows.column(k).to_numpy() for k in range(2))
         # the last cell may go on in the next batch
-        end = len(rows)
-        while end and rows[end - 1][:2] == rows[-1][:2]:
-            end -= 1
-        held = rows[end:]
-        yield _links_of(rows[:end], least)
-    yield _links_of(held, least)
-
-
-def _links_of(rows: list[tuple], least: float) -> pa.RecordBatch:
-    texts = {h: text for _, _, h, _, _, text in rows}
-    at = {h: k for k, h in enumerate(texts)}
-    sig = signatures(list(texts.values()), 96) if texts else None
-    short = np.array([len(t) < SHORT for t in texts.values()], bool)
-    sets: dict[int, frozenset] = {}
-    u: list[int] = []
-    v: list[int] = []
-
-    def close(a: int, b: int) -> bool:
-        for h in (a, b):
-            if h not in sets:
-                sets[h] = shingle_set(texts[h])
-        return similar(sets[a], sets[b], least)
-
-    k = 0
-    while k < len(rows):
-        last = k
-        while last < len(rows) and rows[last][:2] == rows[k][:2]:
-            last += 1
-        group = rows[k:last]
-        k = last
-        failed = sorted({h for _, _, h, _, f, _ in group if f})
-        if not failed:
-            continue
-        # like lines are one component from the start, and nothing is compared inside a component
-        like = {h for _, _, h, l, _, _ in group if l}
-        hs = sorted({h for _, _, h, _, _, _ in group}, key=lambda h: (h not in like, h))
-        places = np.array([at[h] for h in hs])
-        first = min(like, default=0)
-        root = {h: first if h in like else h for h in hs}
-
-        def top(h: int) -> int:
-            while root[h] != h:
-                root[h] = root[root[h]]
-                h = root[h]
-            return h
-
-        for a in failed:
-            near = ((sig[places] == sig[at[a]]).mean(1) >= ESTIMATE) | short[places] | short[at[a]]
-            for j in np.flatnonzero(near).tolist():
-                b = hs[j]
-                if (x := top(a)) != (y := top(b)) and close(a, b):
-                    root[max(x, y)] = min(x, y)
-                    u.append(a), v.append(b)
-    return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        end = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))[-1])
+        held = rows.slice(end).to_batches()
+        if end:
+            yield _links_of(rows.slice(0, end), least)
+    if held:
+        yield _links_of(pa.Table.from_batches(held), least)
+
+
+def _links_of(rows: pa.Table, least: float) -> pa.RecordBatch:
+    """Links of whole cells. The failed lines of each cell meet its other lines in turn, but those of their own component so far."""
+    rows = rows.combine_chunks()
+    key, cell, h, like, failed = (rows.column(k).to_numpy() for k in range(5))
+    # a line that is there as failed and as one of all lines is one member
+    of_cell = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+    order = np.lexsort((~failed, h, of_cell))
+    of_cell, h, like, failed = of_cell[order], h[order], like[order], failed[order]
+    one = np.concatenate([[True], (of_cell[1:] != of_cell[:-1]) | (h[1:] != h[:-1])])
+    order, of_cell, h, like, failed = order[one], of_cell[one], h[one], like[one], failed[one]
+    number, texts = _numbered(rows.column(5).combine_chunks())
+    number = number[order]
+    sets = ShingleSets(texts)
+    start = np.flatnonzero(np.concatenate([[True], of_cell[1:] != of_cell[:-1]]))
+    size = np.diff(np.append(start, len(h)))
+    root = np.arange(len(h))
+    # like lines are one component from the start
+    lead = np.full(len(start), len(h))
+    place = np.cumsum(np.concatenate([[0], of_cell[1:] != of_cell[:-1]]))
+    np.minimum.at(lead, place[like], np.flatnonzero(like))
+    root[like] = lead[place[like]]
+    asks = np.flatnonzero(failed)
+    turn = np.arange(len(asks)) - np.searchsorted(place[asks], place[asks])
+    u, v = [], []
+    for t in range(int(turn.max(initial=-1)) + 1):
+        ours = asks[turn == t]
+        for first in range(0, int(size[place[ours]].max()), TURN):
+            n = np.clip(size[place[ours]] - first, 0, TURN)
+            a = np.repeat(ours, n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + start[place[a]] + first
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            ok = sets.similar(number[a], number[b], least)
+            if ok.any():
+                nodes, low = forest(root[a[ok]], root[b[ok]])
+                u.append(h[nodes]), v.append(h[low])
+                moved = np.arange(len(h))
+                moved[nodes] = low
+                root = moved[root]
+    none = [np.empty(0, np.int64)]
+    return pa.record_batch({"u": pa.array(np.concatenate(u or none), pa.int64()), "v": pa.array(np.concatenate(v or none), pa.int64())})
 
 
 def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY, cell: int = CELL, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, line, h of each line; h and root of each line hash that has links."""
-    keyed, keyed_path = written(_lines(docs, bands, rows), "keyed")
+    small_batches(docs.sparkSession)
+    keyed, keyed_path = written(_lines(docs, bands, rows), "keyed", **{"parquet.enable.dictionary": "false"})
     lines, _ = written(keyed.select("doc_id", "line", "h"), "lines")
     shared, shared_path = written(_shared(keyed), "shared")
-    rows_of, rows_path = written(_members(keyed, shared, bits), "members")
+    members, members_path = written(_members(keyed, shared, bits), "buckets")
     removed(docs.sparkSession, keyed_path, shared_path)
-    leads = rows_of.groupBy("key").agg(F.min("h").alias("lead"))
-    members, _ = written(rows_of.join(leads, "key"), "buckets")
-    removed(docs.sparkSession, rows_path)
     texts, _ = written(_texts(docs, members.select("h").distinct(), bits), "texts")
     pairs = members.where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
     a, b = texts.select(F.col("h").alias("u"), F.col("text").alias("a")), texts.select(F.col("h").alias("v"), F.col("text").alias("b"))
@@ -365,25 +488,39 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least
 
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and gone, the numbers of its lines that repeat an earlier one."""
+    """doc_id and gone, the numbers of its lines that repeat an earlier one, in order."""
     lines, roots = line_components(docs, **options)
     # by line hash its first occurrence and whether it has others; then the same by component
     by_hash = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     by_hash = by_hash.join(roots, "h", "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "h").alias("root"))
-    keep = by_hash.groupBy("root").agg(F.min("first").alias("keep"))
+    # written, so that the join with the lines of a large component is one that adaptive execution splits
+    keep, _ = written(by_hash.groupBy("root").agg(F.min("first").alias("keep")), "kept")
     keep = by_hash.join(keep, "root").select("h", "keep")
     gone = lines.join(keep, "h").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, with the text's repeated lines left out, and _tm_lines, _tm_kept: how many lines there were and stay."""
-    gone = dropped_lines(docs, **options).select(F.col("doc_id").alias("_tm_doc_id"), F.col("gone").alias("_tm_gone"))
-    rows = docs.join(gone, docs["doc_id"] == gone["_tm_doc_id"], "left")
-    split = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(F.col("_tm_split"), lambda x, k: ~F.array_contains(F.col("_tm_gone"), k))
-    changed = F.col("_tm_gone").isNotNull()
-    rows = rows.withColumn("_tm_split", split).withColumn("_tm_left", F.when(changed, kept).otherwise(F.col("_tm_split")))
-    text = F.when(changed, F.array_join("_tm_left", "\n")).otherwise(F.col("text"))
-    out = [text.alias("text") if c == "text" else F.char_length(text).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return rows.select(*out, F.coalesce(F.size("_tm_split"), F.lit(0)).alias("_tm_lines"), F.coalesce(F.size("_tm_left"), F.lit(0)).alias("_tm_kept"))
+    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, counted: bool = True, **options) -> DataFrame:
+    """The rows of docs, all columns, with the text's repeated lines left out.
+
+    counted: with _tm_lines, _tm_kept, how many lines there were and stay; these names
+    are reserved, a table that has them must be read with counted=False.
+    """
+    gone_lines = dropped_lines(docs, **options)
+    taken = {c.lower() for c in docs.columns}
+    own = [unused(name, taken) for name in ("doc_id_of", "gone", "split", "gaps")]
+    gone = gone_lines.toDF(*own[:2])
+    rows = docs.join(gone, docs["doc_id"] == gone[own[0]], "left").withColumn(own[2], F.split(docs["text"], "\n", -1))
+    # what stays are the runs between the lines that go, in order: linear in the text, however many go
+    here = F.filter(own[1], lambda x: x < F.size(own[2]))  # of rows that repeat a doc_id one may be shorter
+    edges = F.concat(F.array(F.lit(-1)), here, F.array(F.size(own[2])))
+    run = lambda a, k: F.slice(F.col(own[2]), a + 2, F.get(F.col(own[3]), k + 1) - a - 1)
+    rows = rows.withColumn(own[3], F.when(F.col(own[1]).isNotNull(), edges))
+    kept = F.flatten(F.transform(F.slice(F.col(own[3]), F.lit(1), F.size(own[3]) - 1), run))
+    changed = F.col(own[1]).isNotNull()
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(docs["text"])
+    out = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    if counted:
+        lines = F.coalesce(F.size(own[2]), F.lit(0))
+        out += [F.greatest(lines, F.lit(0)).alias("_tm_lines"), (F.greatest(lines, F.lit(0)) - F.when(changed, F.size(here)).otherwise(0)).alias("_tm_kept")]
+    return rows.select(*out)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, written
 
 WEIGHTS, SHARE, MOST, BUCKET = (3.0, 1.0, 2.0), 1.5, 2, 1000
 
@@ -104,8 +104,8 @@ def _round(rows: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"))
-    # one scan counts the documents of each source and size; all else is about sources
+    # texts are read once; the table of sizes, a few bytes a document, serves the histogram and the rates
+    sized, _ = written(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
     histogram = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).collect()
     goal = targets({r["source"]: r["source_size"] for r in per_source}, weights, share, most)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import by_worker, sliced, texts_of
+from tidemark.llm.common import by_worker, sliced, small_batches, texts_of
 
 SPACE = "▁"
 RUNS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -272,11 +272,12 @@ def encode_documents(docs: DataFrame, model_path: str, keep: bool = False) -> Da
 
     keep: instead of decoded, same boolean, whether it is the text (a literal space symbol reads as a space).
     """
+    small_batches(docs.sparkSession)
     model = PieceModel.load(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model, model_path)
-        for batch in sliced(batches):
+        for batch in sliced(batches, texts=(1,)):
             words = [enc.by_word(t) for t in texts_of(batch.column(1))]
             packed = [b"".join([x for _, _, x in ws]) for ws in words]
             ends = np.cumsum([0] + [len(p) // 4 for p in packed])
@@ -291,11 +292,12 @@ def encode_documents(docs: DataFrame, model_path: str, keep: bool = False) -> Da
 
 def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the same encoding, without the ids leaving the worker."""
+    small_batches(docs.sparkSession)
     model = PieceModel.load(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model, model_path)
-        for batch in sliced(batches, 1024):
+        for batch in sliced(batches, 1024, (1,)):
             n, ids, decoded = [], [], []
             for text in texts_of(batch.column(1)):
                 words = enc.by_word(text)

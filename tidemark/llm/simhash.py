@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, sliced, texts_of, written
+from tidemark.llm.common import components, sliced, small_batches, texts_of, unused, written
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Fingerprints of a shard that are searched in one task; larger shards are cut.
@@ -70,10 +70,11 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1024):
+        for batch in sliced(batches, 1024, (1,)):
             fp = np.array([fingerprint(t, size) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fp, pa.int64())})
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -205,8 +206,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     by_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots, _ = components(links_of(by_fp.select("fp"), radius, cell), "simhash")
     named = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "root").select("fp", "component_id")
+    # both are written, so that the joins with a large component or a frequent fingerprint are ones that adaptive execution splits
+    lows, _ = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    named, _ = written(named.join(lows, "root").select("fp", "component_id"), "named")
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -214,13 +216,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """The rows of docs, all columns, of which each component keeps the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id all stay.
+    Of rows that repeat that doc_id the one with the smallest text stays (a null text is the
+    smallest; equal ones are one row where all columns are equal, else any). Rows without a doc_id all stay.
     """
     found = near_duplicates(docs, size, radius, cell)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_tm_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_tm_gone"], "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_tm_again"))
+    ids = [unused(name, {c.lower() for c in docs.columns}) for name in ("gone_id", "repeated_id", "place")]
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(ids[0])).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone[ids[0]], "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(ids[1]))
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, kept["doc_id"] == again["_tm_again"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"] == again["_tm_again"], "left_anti").unionByName(repeated)
+    # min_by combines before the shuffle, so that an id with many rows is no hot key
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    repeated = kept.join(again, kept["doc_id"] == again[ids[1]], "left_semi")
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), F.col("text"), F.xxhash64(*others) if others else F.lit(0))).alias(ids[2])
+    repeated = repeated.groupBy("doc_id").agg(first).select(f"{ids[2]}.*")
+    return kept.join(again, kept["doc_id"] == again[ids[1]], "left_anti").unionByName(repeated)
