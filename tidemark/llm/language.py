@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sliced, texts_of
+from tidemark.llm.common import sliced, small_batches, texts_of
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -270,6 +270,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 1500, calibration_docs: int = 400,
 
 def _sent(spark: SparkSession, model: LanguageModel) -> Callable[[], LanguageModel]:
     """The model on the workers, with its class by value, so that they need no copy of this package."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     return lambda: pickle.loads(sent.value)
 
@@ -279,7 +280,7 @@ def _judged(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (kept, rows) = sent(), ({}, [])
-        for batch in sliced(batches, DOCUMENTS):
+        for batch in sliced(batches, DOCUMENTS, (2,)):
             texts = texts_of(batch.column(2))
             langs, scores, rejected, lows, n = m.judged(texts, kept, rows)
             yield pa.record_batch(
@@ -306,7 +307,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, (kept, rows) = sent(), ({}, [])
-        for batch in sliced(batches, DOCUMENTS):
+        for batch in sliced(batches, DOCUMENTS, (at,)):
             yield batch.filter(pa.array([not x for x in m.judged(texts_of(batch.column(at)), kept, rows)[2]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
