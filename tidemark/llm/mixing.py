@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, written
+from tidemark.llm.common import WORD, unused, written
 
 WEIGHTS, SHARE, MOST, BUCKET = (3.0, 1.0, 2.0), 1.5, 2, 1000
 
@@ -127,7 +127,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. Rows that repeat a doc_id count alike."""
-    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("_tm_doc_id")).agg(F.max("copies").alias("_tm_copies")).where("_tm_copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_tm_doc_id"]))
-    again = F.explode(F.sequence(F.lit(1), F.col("_tm_copies"))).alias("_tm_copy")
-    return taken.select(*[docs[c] for c in docs.columns], again).drop("_tm_copy")
+    taken = {c.lower() for c in docs.columns}
+    own, times, copy = (unused(name, taken) for name in ("mixed_id", "copies", "copy"))
+    copies = mix(docs, **options).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies[own]))
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies[times])).alias(copy)).select(*docs.columns)
