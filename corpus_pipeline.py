@@ -2,6 +2,13 @@
 
 Documents in an unknown language go, repeated lines go, of near-duplicates one
 stays, sources are mixed to their target weights, and texts become tokens.
+
+Nulls: a null or letterless text has no language, so its document goes in the first
+stage; null doc_ids, langs and sources are kept (a document without a doc_id loses no
+lines and is nobody's copy). Empty texts that the second stage leaves are
+near-duplicates of each other. Very long texts are one row's work in each stage. Of
+repeated rows one stays. An empty table gives an empty one. Other columns, whatever
+their names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that nearly repeat an earlier one."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, counted=False)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
