@@ -44,7 +44,7 @@ CHARACTERS, AT_ONCE = 1 << 16, 1 << 18
 #: The bits of a hash that make a bucket's key.
 KEY = -(1 << 20)
 #: Bucket entries that a task holds before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Bits of the table that tells which lines share a bucket.
 BITS = 1 << 25
 DOCUMENTS, PAIRS = 128, 1024
@@ -288,7 +288,7 @@ def _shared(lines: DataFrame) -> DataFrame:
     Entries travel packed, a block of bytes for each part and task. A part is a range of keys.
     """
     tasks = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = 8 * tasks  # several for a task, which they are dealt to by hash
+    parts = 4 * tasks  # several for a task, which they are dealt to by hash
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

@@ -9,7 +9,8 @@ neighbours are compatible is the one that merging the whole text would give.
 
 A piece of such a model holds the space symbol at its start only, so no merge
 crosses over a space symbol, and texts are encoded word by word.
-Words repeat; each worker keeps the encodings of those it has met.
+Words repeat; a task keeps the encodings of those it has met, and gives them back at
+its end, as the worker lives on beside the next stages.
 
 Nulls: a null text is the empty text, which has no ids. Empty tables give empty
 tables. Equal rows give equal rows. A text of any length is one row's work,
@@ -28,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import by_worker, sliced, small_batches, texts_of
+from tidemark.llm.common import by_worker, freed, sliced, small_batches, texts_of
 
 SPACE = "▁"
 RUNS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: How many words' encodings a worker keeps at once.
+#: How many words' encodings a task keeps at once.
 KEPT_WORDS = 250_000
 
 
@@ -80,6 +81,12 @@ class Encoder:
         #: By word: its ids, joined by commas, the text that these decode to, and the ids as bytes.
         self.words: dict[str, tuple[str, str, bytes]] = {}
 
+    def emptied(self) -> None:
+        """Gives back what was kept of words."""
+        self.words.clear()
+        self.pairs.clear()
+        freed()
+
     def _boundaries(self) -> re.Pattern:
         """Splits a word between a letter and those marks that follow no letter in any piece: no piece spans these cuts."""
         after = {b for p in self.of for a, b in zip(p, p[1:], strict=False) if re.match(r"[^\W\d_]", a)}
@@ -285,6 +292,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: bool = False) -> Da
             decoded = ["".join([x for _, x, _ in ws])[1:] for ws in words]
             last = {"same": pa.array([d == t for d, t in zip(decoded, texts_of(batch.column(1)), strict=True)], pa.bool_())} if keep else {"decoded": pa.array(decoded, pa.string())}
             yield pa.record_batch({"doc_id": batch.column(0), "ids": ids.cast(pa.list_(pa.int32())), **last})
+        enc.emptied()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, {'same boolean' if keep else 'decoded string'}")
@@ -306,6 +314,7 @@ def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256("".join([x for _, x, _ in words])[1:].encode()).hexdigest())
             yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+        enc.emptied()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
