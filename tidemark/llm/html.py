@@ -3,7 +3,7 @@
 A wrapper is a union-free regular expression over a host's token streams: tags,
 text slots, optional groups (...)? and repeated groups (...)+. Tags are read
 tolerantly into balanced groups; equal neighbours fold into repeated groups. Then
-each page is aligned with the wrapper so far: text against text gives a slot,
+each page is aligned with the wrapper so far: equal texts stay as the template's text, different ones become a slot,
 groups found on one side only become optional, a group against its repetition
 becomes repeated. Each partition aligns its own pages and what partitions found
 is aligned in turn, first in salted parts of a host, so that no task holds a
@@ -15,8 +15,9 @@ beside it is lost. On pages with marked groups (article, main) these do, all of
 them. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and comments, known by tag, role, class or id, don't
 count. What only its name sets apart stays where it holds most of the page's text.
-The rules (a path of groups for each host) are joined to the pages,
-broadcast only where their measured size is small.
+Text that stands alike on all pages of a host (TEMPLATE different ones or more, whose slots hold more than such text) is the template's
+and doesn't count either, unless a page has no other. The rules (a path of groups and the template's texts
+for each host) are joined to the pages, broadcast only where their measured size is small.
 
 Nulls: null html is empty and gives the empty text; pages without a host in their
 url share one wrapper; a null page_id is kept. Repeated rows repeat. Empty tables
@@ -33,21 +34,26 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts_of, written
+from tidemark.llm.common import sliced, small_batches, texts_of, written
 
 #: Bytes of rules up to which they are broadcast.
 BROADCAST = 8 << 20
 #: Parts of a host that partitions' wrappers are aligned in first, and hosts that a partition holds at once.
 SALTS, HELD_HOSTS = 32, 2000
 
+#: Pages of a host from which on what is alike on all of them is its template.
+TEMPLATE = 8
+
 #: How deep a wrapper's groups nest; the text of groups that lie deeper counts for the group around them.
 DEPTH = 150
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)""", re.S | re.I)
 NAMING = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+LANDMARKS = frozenset("article content main post story entry".split())
 PARTS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"[0-9]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
@@ -88,6 +94,16 @@ def named_apart(name: str) -> bool:
     return False
 
 
+def label_of(tag: str, names: list[str]) -> str:
+    """The tag and what names its kind: of a class, id or role the first token without digits, or a landmark. Names made for one page would let wrappers grow with the pages."""
+    out = tag
+    for name in names:
+        tokens = name.split()
+        kinds = [x for x in tokens if x.lower() in LANDMARKS] or [x for x in tokens if not DIGITS.search(x) and x.count("-") + x.count("_") < 3]
+        out += "." + kinds[0] if kinds else ""
+    return out
+
+
 def keep_most(root: Group, made: list[tuple[Group, Group]], named: list[Group]) -> None:
     """Of the groups that are apart by name those with more than half of the page's text aren't. made: all groups with those around them, in page order."""
     size = {id(g): 0 for g, _ in made} | {id(root): 0}
@@ -115,7 +131,11 @@ def parsed(html: str) -> Group:
             if tag_of not in INLINE:
                 blocks.pop()
 
-    for m in TOKEN.finditer(html):
+    # without a > to come nothing more is a tag: looking for it from each < would take quadratic time
+    end = html.rfind(">") + 1
+    rest, last = html[end:], None
+    for m in TOKEN.finditer(html[:end]):
+        last = m
         text = m.group(8)
         if text is not None:
             top = stack[-1].children
@@ -147,7 +167,7 @@ def parsed(html: str) -> Group:
             closed, bound = ([at[x][-1] for x in tags if at[x]] for tags in CLOSES[tag])
             if closed and max(closed) > max(bound, default=0):
                 close(max(closed))
-        group = Group(tag, tag + "".join("." + DIGITS.sub("0", x) for x in names), apart)
+        group = Group(tag, label_of(tag, names), apart)
         made.append((group, stack[-1]))
         stack[-1].children.append(group)
         at[tag].append(len(stack))
@@ -156,12 +176,20 @@ def parsed(html: str) -> Group:
         stack.append(group)
         if apart and tag not in APART:
             named.append(group)
+    if not (last and last.end() == end and left_open(last)):
+        stack[-1].children.append(rest.split("<!--", 1)[0])
     if named:
         keep_most(root, made, named)
     return root
 
 
-# A wrapper's items, as lists, so that they can be JSON: ["#", optional, characters] is a text slot,
+def left_open(m: re.Match) -> bool:
+    """Whether a comment, or an element whose content isn't markup, has no end, so that the rest of the page is its own."""
+    own = m.group()
+    return not own.endswith("-->") if own.startswith("<!--") else m.group(1) is not None and not re.search(r"</" + re.escape(m.group(1)) + r"\s*>\Z", own, re.I)
+
+
+# A wrapper's items, as lists, so that they can be JSON: ["#", optional, characters, text's hash] is a text, with null for the hash a slot,
 # ["e", optional, label, apart, tag, items] an element, ["+", optional, items] a repeated group.
 
 
@@ -186,17 +214,33 @@ def below(group: Group) -> list[str]:
     return out
 
 
+def pieces_of(children: list[Group | str]) -> Iterator[Group | list[int]]:
+    """The groups among children, and the places of texts that stand together."""
+    run: list[int] = []
+    for k, c in enumerate(children):
+        if isinstance(c, str):
+            run.append(k)
+            continue
+        if run:
+            yield run
+            run = []
+        yield c
+    if run:
+        yield run
+
+
+def text_key(children: list[Group | str], run: list[int]) -> str:
+    return xxhash.xxh64_hexdigest(" ".join(" ".join(children[k] for k in run).split()))
+
+
 def items_of(group: Group, depth: int = 1) -> list[list]:
     out: list[list] = []
-    for c in group.children if depth < DEPTH else below(group):
-        if isinstance(c, str):
-            if n := len(c.strip()):
-                if out and out[-1][0] == "#":
-                    out[-1][2] += n
-                else:
-                    out.append(["#", 0, n])
-        else:
+    children = group.children if depth < DEPTH else below(group)
+    for c in pieces_of(children):
+        if isinstance(c, Group):
             out.append(["e", 0, c.label, c.apart, c.tag, items_of(c, depth + 1)])
+        elif n := sum(len(children[k].strip()) for k in c):
+            out.append(["#", 0, n, text_key(children, c)])
     return folded(out)
 
 
@@ -253,7 +297,7 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
 def one(x: list, y: list) -> list:
     maybe = x[1] | y[1]
     if x[0] == "#":
-        return ["#", maybe, x[2] + y[2]]
+        return ["#", maybe, x[2] + y[2], x[3] if x[3] == y[3] else None]
     if x[0] == y[0] == "e":
         return ["e", maybe, x[2], x[3] and y[3], x[4], aligned(x[5], y[5])]
     return ["+", maybe, aligned(x[2] if x[0] == "+" else [x], y[2] if y[0] == "+" else [y])]
@@ -263,7 +307,7 @@ def expression(items: list[list]) -> str:
     """The wrapper as a regular expression."""
     out = []
     for x in items:
-        text = "#text" if x[0] == "#" else f"<{x[2]}>{expression(x[5])}</{x[4]}>" if x[0] == "e" else f"({expression(x[2])})+"
+        text = (f"text:{x[3]}" if x[3] else "#text") if x[0] == "#" else f"<{x[2]}>{expression(x[5])}</{x[4]}>" if x[0] == "e" else f"({expression(x[2])})+"
         out.append(f"({text})?" if x[1] else text)
     return "".join(out)
 
@@ -273,6 +317,41 @@ def mass(items: list[list]) -> int:
     return sum(x[2] if x[0] == "#" else mass(x[2]) if x[0] == "+" else 0 if x[3] else mass(x[5]) for x in items)
 
 
+def template(items: list[list], label: str = "") -> Iterator[tuple[str, int]]:
+    """The texts that all pages have alike outside of what is apart, each with the label around it; and their characters."""
+    for x in items:
+        if x[1]:
+            continue
+        if x[0] == "#":
+            if x[3]:
+                yield f"{label}|{x[3]}", x[2]
+        elif x[0] == "+":
+            yield from template(x[2], label)
+        elif not x[3]:
+            yield from template(x[5], x[2])
+
+
+def rule(pages: int, items: list[list]) -> str:
+    """What extraction needs of a wrapper of so many different pages (TEMPLATE or more are told as that), as JSON: the article's path and the template's texts."""
+    alike = dict(template(items)) if pages >= TEMPLATE else {}
+    if 2 * sum(alike.values()) > mass(items):  # pages that hardly differ
+        alike = {}
+    return json.dumps([article(items), sorted(alike)])
+
+
+def without_template(root: Group, alike: frozenset[str]) -> None:
+    """Empties the texts that are the template's."""
+    todo = [root]
+    while todo:
+        group = todo.pop()
+        for c in list(pieces_of(group.children)):
+            if isinstance(c, Group):
+                todo.append(c)
+            elif f"{group.label}|{text_key(group.children, c)}" in alike:
+                for k in c:
+                    group.children[k] = " "
+
+
 def elements(items: list[list]) -> Iterator[list]:
     for x in items:
         if x[0] == "+":
@@ -328,9 +407,16 @@ def text_of(groups: list[Group]) -> str:
     return " ".join(entities.unescape("".join(out)).split())
 
 
-def main_text(html: str, path: list[str] | None) -> str:
-    """The text of all marked groups, or without text in these that at the path, by which nothing is lost."""
+def main_text(html: str, path: list[str] | None, alike: frozenset[str] = frozenset()) -> str:
+    """The text of all marked groups, or without text in these that at the path, by which nothing is lost; the template's left out where there is other text."""
     root = parsed(html)
+    if alike:
+        without_template(root, alike)
+        return whole_text(root, path) or main_text(html, path)
+    return whole_text(root, path)
+
+
+def whole_text(root: Group, path: list[str] | None) -> str:
     if text := text_of(marked(root)):
         return text
     # what is apart by name here may hold most of the text of the host's other pages
@@ -343,18 +429,23 @@ def _host():
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each partition's wrapper of each host."""
+    """Each partition's wrapper of each host, and the smallest TEMPLATE hashes of its pages: copies count once."""
     wrappers: dict[str, list[list]] = {}
+    pages: dict[str, set[str]] = defaultdict(set)
 
     def out() -> pa.RecordBatch:
-        rows = pa.record_batch({"host": pa.array(list(wrappers), pa.string()), "wrapper": pa.array([json.dumps(w) for w in wrappers.values()], pa.string())})
+        rows = pa.record_batch({"host": pa.array(list(wrappers), pa.string()), "pages": pa.array([sorted(pages[h]) for h in wrappers], pa.list_(pa.string())), "wrapper": pa.array([json.dumps(w) for w in wrappers.values()], pa.string())})
         wrappers.clear()
+        pages.clear()
         return rows
 
-    for batch in batches:
+    for batch in sliced(batches, 512, (1,)):
         for host, page in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             own = items_of(parsed(page))
             wrappers[host] = aligned(wrappers[host], own) if host in wrappers else own
+            pages[host].add(xxhash.xxh64_hexdigest(page))
+            if len(pages[host]) > TEMPLATE:
+                pages[host].remove(max(pages[host]))
             if len(wrappers) >= HELD_HOSTS:
                 yield out()
     if wrappers:
@@ -366,15 +457,15 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     whole = wrappers[0]
     for w in wrappers[1:]:
         whole = aligned(whole, w)
-    return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
+    return pd.DataFrame({"host": rows["host"].iloc[:1], "pages": [sorted({h for own in rows["pages"] for h in own})[:TEMPLATE]], "wrapper": [json.dumps(whole)]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of all pages (url, html)."""
-    parts = pages.select(_host().alias("host"), "html").mapInArrow(_found, "host string, wrapper string")
+    """host, pages and wrapper (JSON) of all pages (url, html)."""
+    parts = pages.select(_host().alias("host"), "html").mapInArrow(_found, "host string, pages array<string>, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper", F.monotonically_increasing_id()), F.lit(SALTS)))
-    first = salted.groupBy("host", "salt").applyInPandas(_merged, "host string, wrapper string")
-    return first.groupBy("host").applyInPandas(_merged, "host string, wrapper string")
+    first = salted.groupBy("host", "salt").applyInPandas(_merged, "host string, pages array<string>, wrapper string")
+    return first.groupBy("host").applyInPandas(_merged, "host string, pages array<string>, wrapper string")
 
 
 def extract(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
@@ -382,17 +473,16 @@ def extract(pages: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
 
     def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [json.dumps(article(json.loads(w))) for w in batch.column(1).to_pylist()]
+            paths = [rule(len(n), json.loads(w)) for n, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.record_batch({"host": batch.column(0), "path": pa.array(paths, pa.string())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                paths = [json.loads(p) if p else None for p in batch.column(3).to_pylist()]
-                texts = [main_text(h, p) for h, p in zip(texts_of(batch.column(2)), paths, strict=True)]
-                yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string())})
+        for batch in sliced(batches, 512, (2,)):
+            rules = {p: (path, frozenset(alike)) for p in set(batch.column(3).to_pylist()) if p for path, alike in [json.loads(p)]}
+            texts = [main_text(h, *rules.get(p, (None,))) for h, p in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string())})
 
+    small_batches(pages.sparkSession)
     rules, _ = written(wrappers(pages).mapInArrow(ruled, "host string, path string"), "wrappers")
     size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", _host().alias("host"))
