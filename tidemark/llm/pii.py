@@ -17,8 +17,10 @@ its length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ LONG = 200
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match starts where a run of digits does, as it fails from all of its digits alike: a run is read once
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]")
@@ -298,6 +301,18 @@ def fits(kind: str, text: str) -> bool:
     return 10 <= n <= 15 and DIALLED.fullmatch(text) is not None
 
 
+def starts_and_ends(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """The spans' starts in order, and for each the largest end so far."""
+    own = sorted((s, e) for _, s, e in spans)
+    return [s for s, _ in own], list(accumulate((e for _, e in own), max))
+
+
+def overlaps(a: int, b: int, spans: tuple[list[int], list[int]]) -> bool:
+    """Whether one of the spans overlaps a to b: of those that start before b one ends after a."""
+    k = bisect_left(spans[0], b)
+    return k > 0 and spans[1][k - 1] > a
+
+
 def found_spans(texts: list[str], field: Field, kept: dict[tuple[str, str, str], np.ndarray]) -> list[tuple[list[Span], list[Span]]]:
     """For each text the patterns' spans and all spans, both by kind and start."""
     base = [base_spans(t) for t in texts]
@@ -319,6 +334,7 @@ def found_spans(texts: list[str], field: Field, kept: dict[tuple[str, str, str],
             runs.append((k, run))
             emissions.append(np.array(own))
     added: dict[int, list[Span]] = defaultdict(list)
+    taken: dict[int, tuple[list[int], list[int]]] = {}
     for (k, run), tags in zip(runs, field.decode(emissions), strict=True):
         j = 0
         while j < len(run):
@@ -335,7 +351,7 @@ def found_spans(texts: list[str], field: Field, kept: dict[tuple[str, str, str],
                 a += 1
             while a < b and texts[k][b - 1] in EDGES:
                 b -= 1
-            if fits(tag[2:], texts[k][a:b]) and not any(s < b and a < e for _, s, e in base[k]):
+            if fits(tag[2:], texts[k][a:b]) and not overlaps(a, b, taken.setdefault(k, starts_and_ends(base[k]))):
                 added[k].append((tag[2:], a, b))
     order = lambda s: (KINDS.index(s[0]), s[1])
     return [(b, sorted(b + added[k], key=order) if k in added else b) for k, b in enumerate(base)]
