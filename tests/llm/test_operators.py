@@ -647,3 +647,47 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.count() == docs.select("doc_id").distinct().count()
     run = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "same").collect()
     assert sorted(r.doc_id for r in run) == sorted(r.doc_id for r in docs.collect()) and all(r.same for r in run)
+
+
+def test_html_texts_alike_on_all_pages_are_the_template(spark):
+    pages = [f"<body><div><p>Read this first, as always</p><div><p>Story number {k} is long enough to matter here</p><p>and goes on {k * 7}</p></div></div></body>" for k in range(10)]
+    want = [f"Story number {k} is long enough to matter here and goes on {k * 7}" for k in range(10)]
+    one_host = lambda htmls: pages_of(spark, htmls).withColumn("url", F.lit("http://h/"))
+    assert [r.text for r in html.extract(one_host(pages)).orderBy("page_id").collect()] == want
+    # few pages, or pages that are copies of each other, keep all
+    assert [r.text for r in html.extract(one_host(pages[:3])).orderBy("page_id").collect()] == ["Read this first, as always " + x for x in want[:3]]
+    assert {r.text for r in html.extract(one_host(pages[:1] * 10)).collect()} == {"Read this first, as always " + want[0]}
+    # a wrapper doesn't grow with names and ids made for each page
+    named = lambda n: html.wrappers(one_host([f'<body><div id="post-{k}-some-long-title" class="entry post-{k}"><p>{k}</p></div></body>' for k in range(n)])).first().wrapper
+    assert len(named(4)) + 8 >= len(named(60))
+
+
+def test_html_open_tags_in_linear_time():
+    import time
+
+    began = time.time()
+    assert html.main_text("<p>a</p>" + "<a " * 100_000, None).startswith("a <a <a")
+    assert html.main_text("<p>a</p><!-- " + "<a " * 1000, None) == "a" and html.main_text("<p>a</p><script> <b> x <i", None) == "a"
+    assert time.time() - began < 5
+
+
+def test_long_digit_runs_and_many_spans_in_linear_time():
+    import time
+
+    began = time.time()
+    assert pii.base_spans("1" * 1_000_000) == [] and pii.base_spans("x 1.2." + "3" * 300_000 + " 10.0.0.1") == [("ip", 300_007, 300_015)]
+    spans = [("ip", 10 * k, 10 * k + 5) for k in range(100_000)]
+    held = pii.starts_and_ends(spans)
+    assert [pii.overlaps(a, a + 2, held) for a in (0, 4, 5, 8, 9, 999_990, 2_000_000)] == [True, True, False, False, True, True, False]
+    assert time.time() - began < 10
+
+
+def test_searches_answer_a_repeated_query_once(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 8)).astype(np.float32)
+    again = [(100, [float(c) for c in x[100]], 0)] * 3 + [(100, [float(c) for c in x[7]], 0)]
+    own = min(x[100].tolist(), x[7].tolist())
+    for found, k, worth in ((ann.nearest, 10, lambda v: -np.sqrt(((v.astype(float) - own) ** 2).sum())), (topk.largest, 5, lambda v: float(np.floor(256 * v.astype(float)) @ np.floor(256 * np.array(own))))):
+        got = [r for r in found(vectors_of(spark, x, again)).collect() if r.query_id == 100]
+        want = sorted((k for k in range(300) if k != 100), key=lambda i: (-worth(x[i]), i))[:k]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == want and len(got) == k

@@ -17,7 +17,8 @@ that holds a third of all rows is spread over all blocks.
 Vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, as queries or as candidates; nor do vectors of another length than the
 query's, and rows with a null vec_id. Rows that repeat a vec_id count as one
-candidate each with its own distance. Ties go to the smaller vec_id. Where a block has
+candidate each with its own distance; as a query the id has one answer, that of the
+smallest of its vectors (by components in order). Ties go to the smaller vec_id. Where a block has
 no more rows than `rows_whole`, or a query's probes meet fewer than k of them or less
 than one in FEW (long vectors do, as one width serves all lengths), all of the block's
 rows are ranked: a query finds fewer than k only if there are fewer. Empty tables give
@@ -27,7 +28,6 @@ empty tables.
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,6 @@ ROWS, QUERIES, ROWS_WHOLE = 8192, 2048, 64
 FEW = 8
 
 
-@lru_cache(4)
 def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
     """The first sets of border numbers (0 is the nearest), by expected sum of squared distances; the empty set first."""
     m = hashes
@@ -172,7 +171,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rows: int = ROWS,
     block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     size = F.size("embedding").alias("size")
     left = own.select("vec_id", "embedding", size, block(row_blocks, "row").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    right = own.where(asked).select("vec_id", "embedding", size, block(query_blocks, "query").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
+    queried = own.where(asked).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    right = queried.select("vec_id", "embedding", size, block(query_blocks, "query").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
 
     def cell(x: pa.Table, q: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])

@@ -16,7 +16,8 @@ summaries, a few numbers a pivot, come to the driver.
 Vectors that are null, empty, or hold a null or non-finite component take no part,
 nor do rows with a null vec_id; vectors of different lengths don't meet. Zero
 vectors count. Rows that repeat a vec_id are candidates each, none of them its
-own. Ties go to the smaller vec_id. Empty tables give empty tables.
+own; as a query the id has one answer, that of the smallest of its vectors (by
+components in order). Ties go to the smaller vec_id. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -82,17 +83,16 @@ def largest(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = ROWS, q
     asked = F.pmod("vec_id", F.lit(every)) == 0
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     lengths = own.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(asked, 1)).alias("q"), F.max(norm).alias("top")).where("q > 0").collect()
-    again = own.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
     out = None
     for s in lengths:
-        part = _largest(own.where(F.size("v") == s["size"]), asked, s, k, again, rows, queries, pivots, sample)
+        part = _largest(own.where(F.size("v") == s["size"]), asked, s, k, rows, queries, pivots, sample)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id {kind}, score long")
     return best(out, k, F.col("score").desc()).select("query_id", "rank", F.col("vec_id").cast(kind).alias("vec_id"), "score")
 
 
-def _largest(own: DataFrame, asked, s, k: int, again: int, rows: int, queries: int, pivots: int | None, sample: int) -> DataFrame:
+def _largest(own: DataFrame, asked, s, k: int, rows: int, queries: int, pivots: int | None, sample: int) -> DataFrame:
     """Products of each query's best rows in each cell, for vectors of one length."""
     top = float(s["top"])
     n_pivots = pivots or min(64, max(4, -(-s["q"] // (queries // 4))))
@@ -114,11 +114,12 @@ def _largest(own: DataFrame, asked, s, k: int, again: int, rows: int, queries: i
 
     dealt, _ = written(own.mapInArrow(grouped, "vec_id long, v array<bigint>, row_group int, row_away double, query_group int, query_away double"), "voronoi")
     # summaries: the smallest distances of rows to their pivot, and the radius of each query group
-    few = k + again
+    few = k + 1  # rows of different ids, one of which may be the query's own
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("row_group", "part").orderBy("row_away"))
-    small = dealt.select("row_group", "row_away", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).select("*", nth.alias("nth")).where(F.col("nth") <= few)
+    by_id = dealt.groupBy("row_group", "vec_id").agg(F.min("row_away").alias("row_away"))
+    small = by_id.select("row_group", "row_away", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).select("*", nth.alias("nth")).where(F.col("nth") <= few)
     near: dict[int, list[float]] = {}
     for r in small.select("row_group", "row_away").collect():  # at most 64 * few rows a pivot
         near.setdefault(r["row_group"], []).append(r["row_away"])
@@ -143,7 +144,8 @@ def _largest(own: DataFrame, asked, s, k: int, again: int, rows: int, queries: i
     block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = dealt.select("vec_id", "v", block(row_blocks, "row").alias("rb"), F.explode(goes).alias("g")).select("*", spread(query_blocks).alias("qb"))
-    right = dealt.where(asked).select("vec_id", "v", F.col("query_group").alias("g"), block(query_blocks, "query").alias("qb"), spread(row_blocks).alias("rb"))
+    queried = dealt.where(asked).groupBy("vec_id").agg(F.min(F.struct("v", "query_group", "query_away")).alias("own")).select("vec_id", "own.*")
+    right = queried.select("vec_id", "v", F.col("query_group").alias("g"), block(query_blocks, "query").alias("qb"), spread(row_blocks).alias("rb"))
 
     def cell(q: pa.Table, x: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
