@@ -691,3 +691,110 @@ def test_searches_answer_a_repeated_query_once(spark):
         got = [r for r in found(vectors_of(spark, x, again)).collect() if r.query_id == 100]
         want = sorted((k for k in range(300) if k != 100), key=lambda i: (-worth(x[i]), i))[:k]
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == want and len(got) == k
+
+
+def brute_kneser_ney(words_, counts, text):
+    """Interpolated Kneser-Ney by its definition, on dictionaries: the probability of each character of a word."""
+    order = language.ORDER
+
+    def grams(word):
+        chars = (1, *map(ord, word), 2)
+        return [chars[max(0, k + 1 - order) : k + 1] for k in range(1, len(chars))]
+
+    tables = []
+    for n in range(1, order + 1):
+        count, before = {}, {}
+        for word, times in zip(words_, counts, strict=True):
+            for g in grams(word):
+                if len(g) >= n:
+                    count[g[-n:]] = count.get(g[-n:], 0) + times
+                if len(g) > n:
+                    before.setdefault(g[-n:], set()).add(g[-n - 1])
+        if n < order:
+            count = {g: len(before[g]) if g in before else c for g, c in count.items()}
+        one, two = sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values())
+        less = min(0.95, one / (one + 2 * two)) if one else 0.5
+        total = {}
+        for g, c in count.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+        tables.append((count, total, less))
+    letters = len({g[-1] for word in words_ for g in grams(word)}) + 1
+    out = []
+    for g in grams(text):
+        p = 1 / (letters + 1000)
+        for n, (count, total, less) in enumerate(tables, 1):
+            if len(g) >= n and (context := g[-n:-1]) in total:
+                left = sum(min(c, less) for x, c in count.items() if x[:-1] == context) / total[context]
+                p = max(count.get(g[-n:], 0) - less, 0) / total[context] + left * p
+        out.append(p)
+    return np.array(out)
+
+
+def test_kneser_ney_against_its_definition():
+    rng = random.Random(9)
+    words_ = sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(60)})
+    counts = [rng.randint(1, 4) for _ in words_]
+    model = language.KneserNey.fit(words_, np.array(counts))
+    for text in [*words_[:10], "zzz", "abz", "eabcd", "a"]:
+        assert np.allclose(np.exp(model.log_p(language.windows([text]))), brute_kneser_ney(words_, counts, text), rtol=1e-5)
+
+
+def test_language_rejects_junk_and_unseen_languages(spark):
+    rng = random.Random(4)
+    syllables = {"aa": "lo rem ip sum do lor sit am et con sec".split(), "bb": "keit schun eine ung ver der zu ich aus".split(), "cc": "ció que los ña mente del por ado ida".split()}
+    word = lambda x: "".join(rng.choice(syllables[x]) for _ in range(rng.randint(1, 4)))
+    text = lambda x: " ".join(word(x) for _ in range(rng.randint(8, 80)))
+    langs = ["aa", "bb"] * 500
+    rows = [(k, text(x), x, "s", 0) for k, x in enumerate(langs)]
+    model = language.fit(spark.createDataFrame(rows, DOCS), docs_per_lang=200, calibration_docs=100)
+    clean = [(k, text(x), x, "s", 0) for k, x in enumerate(langs)]
+    junk = [(k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 12))) for _ in range(20)), None, "s", 0) for k in range(1000, 1100)]
+    unseen = [(k, text("cc"), None, "s", 0) for k in range(2000, 2100)]
+    kept = {r.doc_id for r in language.keep_identified(spark.createDataFrame(clean + junk + unseen, DOCS), model).collect()}
+    assert len(kept & set(range(1000))) >= 998
+    assert len(kept & set(range(1000, 1100))) <= 1 and len(kept & set(range(2000, 2100))) <= 5
+
+
+BY_VALUE = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, {repo!r})
+from tidemark.llm import ann, html, language, line_dedup, topk
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(k, "lorem ipsum dolor\\nsit amet " + str(k), "aa", "s") for k in range(40)], "doc_id long, text string, lang string, source string")
+assert language.keep_identified(docs, language.fit(docs)).count() == 40
+assert line_dedup.dedup_lines(docs).count() == 40
+vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(200)], "vec_id long, embedding array<float>")
+assert ann.nearest(vectors).count() == 20 and topk.largest(vectors).count() == 20
+assert html.extract(spark.createDataFrame([(1, "http://h/", "<p>a</p>")], "page_id long, url string, html string")).first().text == "a"
+"""
+
+
+def test_functions_travel_by_value(tmp_path):
+    import os
+    import pathlib
+    import subprocess
+    import sys
+
+    repo = str(pathlib.Path(line_dedup.__file__).parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", BY_VALUE.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_pipeline_of_an_empty_table_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    names = ("_tm_gone", "gone", "split", "copies", "copy", "place", "fp", "root", "h")
+    rows = [(k, f"lorem ipsum dolor sit amet {x}\nconsectetur elit {x * 3}", "en", f"s{k % 3}", 1) for k, x in enumerate(["aa", "bb", "cc", "dd", "ee", "ff"])] + [(50, None, "en", "s", 0), (0, "lorem ipsum dolor sit amet aa\nconsectetur elit aaaaaa", "en", "s0", 1)]
+    for own in (rows, []):
+        docs = spark.createDataFrame(own, DOCS)
+        for name in names:
+            docs = docs.withColumn(name, F.lit(1))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            if name != "tokens":
+                assert out.columns == docs.columns
+            docs, _ = common.written(out, name)
+        got = docs.collect()
+        assert (len(got) > 3 and 50 not in {r.doc_id for r in got}) if own else not got
