@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from tidemark.llm.common import by_worker, freed, sliced, small_batches, texts_o
 
 SPACE = "▁"
 RUNS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: How many words' encodings a task keeps at once.
-KEPT_WORDS = 250_000
+#: Characters up to which merging goes without a heap.
+SHORT = 32
+#: How many words' encodings a task keeps at once, and how many stay, the first it met, where more come.
+KEPT_WORDS, KEPT_FIRST = 250_000, 100_000
 
 
 class PieceModel:
@@ -78,6 +82,8 @@ class Encoder:
         self.split = self._boundaries()
         #: What a piece reads as, where decoding it needs no more than that.
         self.plain = [p.replace(SPACE, " ") if k == "normal" else "" for p, k in zip(model.pieces, model.kinds, strict=True)]
+        self.score = {p: model.scores[i] for p, i in self.of.items()}
+        self.digits = [str(i) for i in range(len(model.pieces))]
         #: By word: its ids, joined by commas, the text that these decode to, and the ids as bytes.
         self.words: dict[str, tuple[str, str, bytes]] = {}
 
@@ -95,6 +101,8 @@ class Encoder:
 
     def merged(self, text: str) -> list[str]:
         """Merges characters in the order of scores, the leftmost first: the definition."""
+        if len(text) <= SHORT:
+            return self.merged_short(text)
         part: list[str | None] = list(text)
         after, before = [*range(1, len(part)), -1], [-1, *range(len(part) - 1)]
         heap: list[tuple[float, int, int, str]] = []
@@ -119,6 +127,20 @@ class Encoder:
             offer(a)
         return [x for x in part if x is not None]
 
+    def merged_short(self, text: str) -> list[str]:
+        """The same, by looking at all neighbours each time: less work than a heap for a few characters."""
+        part, score = list(text), self.score.get
+        both = [score(a + b, -math.inf) for a, b in pairwise(part)]
+        while both and (most := max(both)) > -math.inf:
+            at = both.index(most)
+            part[at] += part.pop(at + 1)
+            both.pop(at)
+            if at < len(both):
+                both[at] = score(part[at] + part[at + 1], -math.inf)
+            if at:
+                both[at - 1] = score(part[at - 1] + part[at], -math.inf)
+        return part
+
     def fits(self, key: int, left: int, right: int) -> bool:
         """Whether merging the two pieces' characters gives these two; left -1: whether right's give right."""
         if len(self.pairs) > 500_000:
@@ -144,8 +166,8 @@ class Encoder:
                     out += [self.byte[b] for b in word[k].encode()] if self.byte else [self.unknown]
                 at = k + 1
             return out
-        failed, any_failed = bytearray(n // 8 + 1), False
         pairs = self.pairs
+        failed, any_failed = bytearray(n // 8 + 1), False
         path: list[tuple[int, int]] = []  # position and which of its pieces
         at, last, which = 0, -1, 0
         starts = found[0]
@@ -191,12 +213,12 @@ class Encoder:
             return []
         words = self.words_of(text)
         kept = self.words
-        try:
-            return [kept[w] for w in words]
-        except KeyError:
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-            return [kept.get(w) or self.new_word(w) for w in words]
+        if len(kept) > KEPT_WORDS:  # frequent words are among the first
+            first = list(islice(kept.items(), KEPT_FIRST))
+            kept.clear()
+            kept.update(first)
+        found, new = kept.get, self.new_word
+        return [found(w) or new(w) for w in words]
 
     def new_word(self, word: str) -> tuple[str, str, bytes]:
         """Encodes the parts between cuts and decodes their ids; keeps these and the word."""
@@ -210,7 +232,7 @@ class Encoder:
                     text = " " * read[0].startswith(" ") + self.decode(ids)
                 else:
                     text = "".join(read)
-                got = (",".join(map(str, ids)), text, array("i", ids).tobytes())
+                got = (",".join([self.digits[i] for i in ids]), text, array("i", ids).tobytes())
                 if len(part) <= 64:
                     kept[part] = got
             out.append(got)
