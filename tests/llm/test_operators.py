@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 
@@ -798,3 +799,14 @@ def test_pipeline_of_an_empty_table_and_clashing_columns(spark):
             docs, _ = common.written(out, name)
         got = docs.collect()
         assert (len(got) > 3 and 50 not in {r.doc_id for r in got}) if own else not got
+
+
+def test_viterbi_against_all_paths(spark):
+    field = pii.train(pii.labelled_table(spark))
+    rng, tags = np.random.default_rng(5), range(len(pii.TAGS))
+    steps = np.where(field.allowed, field.steps, -1e9)
+    runs = [rng.normal(0, 3, (n, len(pii.TAGS))) for n in (1, 2, 3, 4) for _ in range(5)]
+    for e, got in zip(runs, field.decode(runs), strict=True):
+        value = lambda path: steps[0, path[0]] + sum(e[j, x] for j, x in enumerate(path)) + sum(steps[a, b] for a, b in zip(path, path[1:], strict=False)) + steps[path[-1], 0]  # noqa: B023, E731
+        best = max(itertools.product(tags, repeat=len(e)), key=value)
+        assert value(tuple(got.tolist())) == pytest.approx(value(best)) and value(best) > -1e8
