@@ -248,6 +248,23 @@ def test_line_dedup_rows_without_id_and_repeated_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_what_lines_have_in_common_is_bounded():
+    rng = random.Random(4)
+    for letters in ("abcdefgh ", "abcdéß中😀 "):
+        lines = ["".join(rng.choices(letters, k=rng.randint(150, 250))) for _ in range(30)]
+        lines += [x[:100] + "z" + x[101:] for x in lines] + [x + "tail" * 9 for x in lines[:9]] + ["a", "abcd", "aaaaaaaaa"]
+        sets, own = line_dedup.ShingleSets(lines), [line_dedup.shingle_set(x) for x in lines]
+        pairs = np.array(list(itertools.combinations(range(len(lines)), 2)))
+        a, b = pairs[:, 0], pairs[:, 1]
+        both = np.array([len(own[x] & own[y]) for x, y in pairs])
+        every = np.array([len(own[x] | own[y]) for x, y in pairs])
+        for some in (slice(0, 40), slice(None)):  # few at first, then more than there are shingles
+            assert (sets.similar(a[some], b[some], 0.8) == (both >= 0.8 * every)[some]).all()
+        assert sets.bins is not None
+        most = sets.bound(a, b)
+        assert (most >= both).all() and (most >= 0.8 * (both + every - most)).sum() < 1.2 * (both >= 0.8 * every).sum()
+
+
 # simhash
 
 

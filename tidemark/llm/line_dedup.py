@@ -41,6 +41,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 6
 CELL, TURN = 512, 32
 #: Characters that are hashed at once, and shingles that are looked up at once.
 CHARACTERS, AT_ONCE = 1 << 16, 1 << 18
+#: Bins of a line's shingles, whose counts bound what two lines have in common, and pairs bounded at once.
+BINS, BOUNDED = 256, 1024
 #: The bits of a hash that make a bucket's key.
 KEY = -(1 << 20)
 #: Bucket entries that a task holds before it sends them on.
@@ -161,7 +163,10 @@ class ShingleSets:
         lines = [x if len(x) >= size else x + "\ud800" * (size - len(x)) for x in lines]
         self.bits, self.room, self.number = 7, 62 - len(lines).bit_length(), None
         if not all(map(str.isascii, lines)):
-            alphabet = np.array(sorted(map(ord, set().union(*lines))))
+            there = np.zeros(0x110000, bool)
+            for part in parted(lines):
+                there[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+            alphabet = np.flatnonzero(there)
             self.number = np.zeros(int(alphabet[-1]) + 1, np.int64)
             self.number[alphabet] = np.arange(len(alphabet))
             self.bits = len(alphabet).bit_length()
@@ -173,6 +178,9 @@ class ShingleSets:
         self.every = np.concatenate(every) if every else np.empty(0, np.int64)
         self.start = np.searchsorted(self.every, np.arange(len(lines) + 1) << self.width)
         self.count = np.diff(self.start)
+        #: Made once more shingles are asked for than there are.
+        self.bins: np.ndarray | None = None
+        self.asked = 0
 
     def coded(self, lines: list[str], first: int, size: int) -> np.ndarray:
         """The distinct shingles of some lines, each with its line's number above it, sorted. first: the first line's number."""
@@ -198,11 +206,25 @@ class ShingleSets:
         new[1:] = code[1:] != code[:-1]
         return code[new]
 
+    def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many shingles lines a[k] and b[k] have in common at most: of each bin as many as the line with fewer has."""
+        if self.bins is None:
+            code = (self.every & ((1 << self.width) - 1)).view(np.uint64) * MIX
+            place = (self.every >> self.width) * BINS + (code >> np.uint64(56)).view(np.int64)
+            bins = np.bincount(place, minlength=len(self.count) * BINS).reshape(-1, BINS)
+            self.bins = bins.astype(np.uint16) if bins.max(initial=0) < 1 << 16 else bins
+        parts = [np.minimum(self.bins[a[k : k + BOUNDED]], self.bins[b[k : k + BOUNDED]]).sum(1, np.int64) for k in range(0, len(a), BOUNDED)]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
     def similar(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
         """Whether lines a[k] and b[k] have a Jaccard similarity of `least` or more."""
         small, large = np.where(self.count[a] <= self.count[b], a, b), np.where(self.count[a] <= self.count[b], b, a)
         out = np.zeros(len(a), bool)
         near = np.flatnonzero(self.count[small] >= least * self.count[large])
+        self.asked += int(self.count[small[near]].sum())
+        if self.asked > len(self.every):
+            most = self.bound(small[near], large[near])
+            near = near[most >= least * (self.count[small[near]] + self.count[large[near]] - most)]
         ends = np.cumsum(self.count[small[near]])
         k = 0
         while k < len(near):
