@@ -522,6 +522,22 @@ def test_warc_null_ids(spark):
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.archived(df).collect()) == [("3", "response", "None"), ("None", "response", "None"), ("None", "revisit", "3")]
 
 
+def test_warc_hashes_and_compresses_a_payload_once(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None if k == 3 else f"http://a/{k}", h) for k, h in enumerate(["<p>a</p>", "é" * 5000, "", "<p>b</p>", None, "<p>a</p>"])], "page_id long, url string, html string")
+    got = warc.archived(pages, path=str(tmp_path / "pages"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+    # what goes through the shuffle is what a writer makes of the payload, and is written as it is
+    made = [m for b in warc._members(iter(pages.selectExpr("page_id", "concat('<urn:page:', page_id, '>')", "url", "html").toArrow().to_batches())) for m in b.column("member").to_pylist()]
+    plain = pages.selectExpr("concat('<urn:page:', page_id, '>') AS record_id", "url AS uri", "encode(html, 'UTF-8') AS payload")
+    plain.coalesce(1).write.format("warc").mode("append").save(str(tmp_path / "plain"))
+    (file,) = (tmp_path / "plain").glob("*.warc.gz")
+    assert file.read_bytes() == b"".join(made)
+    assert sum(f.read_bytes().count(made[1]) for f in (tmp_path / "pages").glob("*.warc.gz")) == 1
+    hexed = ["0" * 40, "f" * 40, "0" * 14 + "1" + "0" * 24 + "9", hashlib.sha1(b"x").hexdigest()]
+    found = spark.createDataFrame([(h,) for h in [*hexed, None]], "h string").select(warc.base32(F.col("h"))).collect()
+    assert [r[0] for r in found] == [base64.b32encode(bytes.fromhex(h)).decode() for h in hexed] + [None]
+
+
 # HTML
 
 

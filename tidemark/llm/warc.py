@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import new_path
+from tidemark.llm.common import new_path, sliced
 
 SCHEMA = "record_id string, record_type string, uri string, date string, refers_to string, payload_digest string, payload_length long, headers map<string,string>, payload binary"
 #: Header columns and the headers that they come from.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The date of records that are given none.
+DATE = "1970-01-01T00:00:00Z"
 ROWS = 256
 #: Bytes that are read at once.
 CHUNK = 1 << 20
@@ -68,6 +70,11 @@ def record(headers: dict[str, str | None], payload: bytes, length: int | None =
     return "WARC/1.1\r\n".encode() + "\r\n".join(lines).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
 
+def page_head(kind: str, record_id: str, date: str, uri: str | None, digest: str) -> dict[str, str | None]:
+    """The headers that every record of the writer has."""
+    return {"WARC-Type": kind, "WARC-Record-ID": record_id, "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Payload-Digest": digest}
+
+
 def one_line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -89,22 +96,16 @@ class Source:
     def __init__(self, file):
         self.file, self.held, self.at = file, b"", 0
 
-    def more(self) -> bool:
-        new = self.file.read(CHUNK)
-        self.held += new
-        return bool(new)
-
     def need(self, n: int) -> bytes:
-        while len(self.held) < n and self.more():
-            pass
-        return self.held[:n]
+        while (missing := n - len(self.held) + self.at) > 0 and (new := self.file.read(max(missing, CHUNK))):
+            self.held, self.at = self.held[self.at :] + new, 0
+        return self.held[self.at : self.at + n]
 
     def step(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
-        else:
-            self.file.seek(n - len(self.held), 1)
-            self.held = b""
+        self.at += n
+        if self.at > len(self.held):
+            self.file.seek(self.at - len(self.held), 1)
+            self.held, self.at = b"", 0
 
 
 @dataclass
@@ -135,8 +136,8 @@ def records(file, wanted: Wanted, payloads: bool = True) -> Iterator[tuple[dict[
 
 def _plain(src: Source, wanted: Wanted, payloads: bool) -> tuple | None:
     n = 4096
-    while (head := parsed_head(src.need(n))) is None:
-        if len(src.held) < n or not src.held.startswith(b"WARC/"):
+    while (head := parsed_head(start := src.need(n))) is None:
+        if len(start) < n or not start.startswith(b"WARC/"):
             raise ValueError("a record's headers don't end")
         n *= 2
     headers, size = head
@@ -279,10 +280,10 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType):
-        self.path, self.level, self.date = options["path"], int(options.get("level", "6")), options.get("date", "1970-01-01T00:00:00Z")
+        self.path, self.level, self.date = options["path"], int(options.get("level", "6")), options.get("date", DATE)
         self.names = schema.names
-        if "record_id" not in self.names or not {"payload", "deflated"} & set(self.names):
-            raise ValueError("the columns record_id and payload (or deflated) are needed")
+        if "record_id" not in self.names or not {"payload", "member"} & set(self.names):
+            raise ValueError("the columns record_id and payload (or member) are needed")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, path = opened(self.path)
@@ -295,11 +296,12 @@ class WarcWriter(DataSourceArrowWriter):
                 get = lambda name, k: cols[name][k].as_py() if name in cols else None
                 for k in range(batch.num_rows):
                     any_row = True
+                    if made := get("member", k):
+                        out.write(made)
+                        continue
                     payload, kind = get("payload", k) or b"", get("record_type", k) or "response"
-                    if deflated := get("deflated", k):
-                        payload = zlib.decompress(deflated)
                     digest = get("payload_digest", k) or "sha1:" + sha1_base32(payload)
-                    head = {"WARC-Type": kind, "WARC-Record-ID": get("record_id", k), "WARC-Date": get("date", k) or self.date, "WARC-Target-URI": get("uri", k), "WARC-Payload-Digest": digest}
+                    head = page_head(kind, get("record_id", k), get("date", k) or self.date, get("uri", k), digest)
                     if kind == "revisit":
                         head |= {"WARC-Profile": IDENTICAL, "WARC-Refers-To": get("refers_to", k)}
                     out.write(member(record(head, payload, get("payload_length", k)), self.level))
@@ -355,14 +357,19 @@ def _of_id(column: Column) -> Column:
     return F.regexp_extract(column, r"^<urn:page:(-?\d*)>$", 1)
 
 
-def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads with their digests and lengths, compressed for the way through the shuffle."""
-    for batch in batches:
-        payloads = [(x or "").encode() for x in batch.column(2).to_pylist()]
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads' digests and lengths, and each page's record as a response: compressed once, as it goes into the archive."""
+    for batch in sliced(batches, ROWS, (3,)):
+        digests, lengths, members = [], [], []
+        for record_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+            payload = (html or "").encode()
+            digest = hashlib.sha1(payload).digest()
+            digests.append(digest.hex()), lengths.append(len(payload))
+            members.append(member(record(page_head("response", record_id, DATE, url, "sha1:" + base64.b32encode(digest).decode()), payload)))
         yield pa.record_batch(
             {
-                "page_id": batch.column(0), "url": batch.column(1), "digest": pa.array([hashlib.sha1(x).hexdigest() for x in payloads], pa.string()),
-                "payload_length": pa.array([len(x) for x in payloads], pa.int64()), "deflated": pa.array([zlib.compress(x) for x in payloads], pa.binary()),
+                "page_id": batch.column(0), "record_id": batch.column(1), "url": batch.column(2), "digest": pa.array(digests, pa.string()),
+                "payload_length": pa.array(lengths, pa.int64()), "member": pa.array(members, pa.binary()),
             }
         )
 
@@ -381,15 +388,17 @@ def archive_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     # maxima are combined before the shuffle; the join is a plain one, which is split where a digest is hot
     last = sizes.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"))
     kind = {f.name: f.dataType.simpleString() for f in pages.schema}
-    rows = pages.select("page_id", "url", "html").mapInArrow(_deflated, f"page_id {kind['page_id']}, url {kind['url']}, digest string, payload_length long, deflated binary")
+    record_id = F.coalesce(_id(F.col("page_id")), F.lit("<urn:page:>"))
+    rows = pages.select("page_id", record_id.alias("record_id"), "url", "html")
+    rows = rows.mapInArrow(_members, f"page_id {kind['page_id']}, record_id string, url {kind['url']}, digest string, payload_length long, member binary")
     rows = rows.join(last, "digest", "left")
     again = F.coalesce((F.col("payload_length") >= least) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
     out = rows.select(
-        F.coalesce(_id(F.col("page_id")), F.lit("<urn:page:>")).alias("record_id"),
+        "record_id",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("uri"),
         F.when(again, _id(F.col("keeper"))).alias("refers_to"),
-        F.when(~again, F.col("deflated")).alias("deflated"),
+        F.when(~again, F.col("member")).alias("member"),
         F.concat(F.lit("sha1:"), base32(F.col("digest"))).alias("payload_digest"),
         "payload_length",
     )
@@ -397,13 +406,9 @@ def archive_pages(pages: DataFrame, path: str, least: int = 0) -> None:
 
 
 def base32(hexed: Column) -> Column:
-    """RFC 4648 base32 of 40 hex digits: eight groups of five, each four characters of five bits."""
-    letter = lambda n: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), n + 1, F.lit(1))
-    out = []
-    for k in range(8):
-        value = F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 10).cast("int")
-        out += [letter(F.shiftright(value, s).bitwiseAND(31)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
+    """RFC 4648 base32 of 40 hex digits, by number conversion of 15, 15 and 10 of them. hexed is evaluated three times."""
+    part = lambda at, n: F.lpad(F.conv(F.substring(hexed, at, n), 16, 32), n * 4 // 5, "0")
+    return F.translate(F.concat(part(1, 15), part(16, 15), part(31, 10)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def archived(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFrame:
@@ -415,8 +420,10 @@ def archived(pages: DataFrame, least: int = 0, path: str | None = None) -> DataF
     path = path or new_path(spark, "warc")
     archive_pages(pages, path, least)
     kind = pages.schema["page_id"].dataType.simpleString()
-    digest = F.when(F.col("record_type") == "response", base32(F.sha1("payload"))).otherwise(F.substring_index("payload_digest", ":", -1))
+    hexed = F.when(F.col("record_type") == "response", F.sha1("payload"))
+    digest = F.when(F.col("hexed").isNotNull(), base32(F.col("hexed"))).otherwise(F.substring_index("payload_digest", ":", -1))
     size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))
     number = lambda c: F.expr(f"try_cast(`{c}` as {kind})")
-    got = read(spark, path).select(_of_id(F.col("record_id")).alias("page"), _of_id(F.col("refers_to")).alias("other"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type")
-    return got.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("other").alias("refers_to"))
+    # a projection of its own for the hash: inside of base32 each payload would be hashed as often as that refers to it
+    got = read(spark, path).select(_of_id(F.col("record_id")).alias("page"), _of_id(F.col("refers_to")).alias("other"), size.alias("payload_bytes"), hexed.alias("hexed"), "payload_digest", "record_type")
+    return got.select(number("page").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", number("other").alias("refers_to"))
