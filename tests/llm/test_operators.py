@@ -457,6 +457,32 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs_of(spark, []), pii.Field()).count() == 0
 
 
+def test_empty_bins_borrow_by_definition(monkeypatch):
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("abc é", k=n)) for n in [1, 2, 5, 6, 7, 9, 20, 80, 300, 3000] * 3] + [""]
+    bins, empty = 24, 2**64 - 1
+    draws = np.random.default_rng(11)
+    borrowed = [draws.integers(0, bins, bins).tolist() for _ in range(48)]
+    want = []
+    for line in lines:
+        own = [empty] * bins
+        padded = line + "\0" * (5 - len(line))
+        for k in range(len(padded) - 4):
+            code = 0
+            for x in padded[k : k + 5]:
+                code = (code * int(line_dedup.BASE) + ord(x)) % 2**32
+            h = code * int(line_dedup.MIX) % 2**64
+            at = (h >> 32) * bins >> 32
+            own[at] = min(own[at], ((h ^ h >> 29) * int(line_dedup.MIX) % 2**64) >> 8)
+        want.append([next((own[b[k]] for b in borrowed if own[b[k]] != empty), min(own)) if x == empty else x for k, x in enumerate(own)])
+    assert line_dedup.signatures(lines, bins).tolist() == want
+    # which rounds are gone through together, and by how many bins, changes nothing
+    for rounds, holes in (((0,), 7), (tuple(range(48)), 1000), ((0, 2, 47), 1)):
+        monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+        monkeypatch.setattr(line_dedup, "HOLES", holes)
+        assert line_dedup.signatures(lines, bins).tolist() == want
+
+
 # WARC
 
 

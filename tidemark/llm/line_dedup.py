@@ -42,7 +42,9 @@ CELL, TURN = 512, 32
 #: Characters that are hashed at once, and shingles that are looked up at once.
 CHARACTERS, AT_ONCE = 1 << 16, 1 << 18
 #: Bins of a line's shingles, whose counts bound what two lines have in common, and pairs bounded at once.
-BINS, BOUNDED = 256, 1024
+BINS, BOUNDED = 2048, 256
+#: Rounds of borrowing that empty bins go through together, by the first of each group, and bins that do so at once.
+ROUNDS, HOLES = (0, 1, 3, 8), 1 << 13
 #: The bits of a hash that make a bucket's key.
 KEY = -(1 << 20)
 #: Bucket entries that a task holds before it sends them on.
@@ -105,26 +107,34 @@ def signatures(lines: list[str], bins: int, size: int = SHINGLE) -> np.ndarray:
     h *= MIX
     h >>= np.uint64(8)
     np.minimum.at(out, at, h)
-    own = out[:-1].reshape(-1, bins)
-    row, col = np.nonzero(own == empty)
-    first = own.copy()
-    for borrowed in borrowings(bins):
-        if not len(row):
-            break
-        own[row, col] = first[row, borrowed[col]]
-        hole = own[row, col] == empty
-        row, col = row[hole], col[hole]
-    if len(row):
-        own[row, col] = first.min(1)[row]
-    return own
+    own = out[:-1]
+    holes = np.flatnonzero(own == empty)
+    if len(holes):
+        first, steps = own.copy(), borrowings(bins)
+        for k, last in zip(ROUNDS, [*ROUNDS[1:], len(steps)], strict=True):
+            # a bin takes the first that isn't empty of those that it borrows from in some rounds
+            left = []
+            for at in range(0, len(holes), HOLES):
+                hole = holes[at : at + HOLES]
+                got = first.take(steps[k:last].take(hole % bins, 1) + hole)
+                if last > k + 1:
+                    got = got[(got != empty).argmax(0), np.arange(len(hole))]
+                else:
+                    got = got[0]
+                own[hole] = got
+                left.append(hole[got == empty])
+            holes = np.concatenate(left or [holes])
+        if len(holes):
+            own[holes] = first.reshape(-1, bins).min(1)[holes // bins]
+    return own.reshape(-1, bins)
 
 
 def borrowings(bins: int) -> np.ndarray:
-    """For each round and bin the bin that it borrows from."""
+    """For each round and bin how far away the bin is that it borrows from."""
 
     def drawn() -> np.ndarray:
         rng = np.random.default_rng(11)
-        return np.stack([rng.integers(0, bins, bins) for _ in range(48)])
+        return np.stack([rng.integers(0, bins, bins) for _ in range(48)]) - np.arange(bins)
 
     return by_worker(f"borrowings:{bins}", drawn)
 
@@ -210,9 +220,9 @@ class ShingleSets:
         """How many shingles lines a[k] and b[k] have in common at most: of each bin as many as the line with fewer has."""
         if self.bins is None:
             code = (self.every & ((1 << self.width) - 1)).view(np.uint64) * MIX
-            place = (self.every >> self.width) * BINS + (code >> np.uint64(56)).view(np.int64)
+            place = (self.every >> self.width) * BINS + (code >> np.uint64(32)).view(np.int64) * BINS // (1 << 32)
             bins = np.bincount(place, minlength=len(self.count) * BINS).reshape(-1, BINS)
-            self.bins = bins.astype(np.uint16) if bins.max(initial=0) < 1 << 16 else bins
+            self.bins = bins.astype(np.min_scalar_type(bins.max(initial=0)))
         parts = [np.minimum(self.bins[a[k : k + BOUNDED]], self.bins[b[k : k + BOUNDED]]).sum(1, np.int64) for k in range(0, len(a), BOUNDED)]
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
@@ -382,14 +392,13 @@ def _texts(docs: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
         table, seen = sent.value, set()
         for batch in sliced(batches, 512, (0,)):
             own, texts = [], []
-            for text in texts_of(batch.column(0)):
-                for line in normal_lines(text):
-                    if line:
-                        h = line_hash(line)
-                        place = h % bits
-                        if table[place >> 5] >> (place & 31) & 1 and h not in seen:
-                            seen.add(h)
-                            own.append(h), texts.append(line)
+            lines = [line for text in texts_of(batch.column(0)) for line in normal_lines(text) if line]
+            hashes = [line_hash(line) for line in lines]
+            place = np.array(hashes, np.int64) % bits
+            for k in np.flatnonzero(table[place >> 5] >> (place & 31).astype(np.uint32) & 1).tolist():
+                if (h := hashes[k]) not in seen:
+                    seen.add(h)
+                    own.append(h), texts.append(lines[k])
             if len(seen) > SEEN:
                 seen.clear()
             yield pa.record_batch({"h": pa.array(own, pa.int64()), "text": pa.array(texts, pa.string())})
